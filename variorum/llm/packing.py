@@ -159,7 +159,8 @@ def pack(
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in _PIECES.names[:5]}
             yield out_batch(_PACKED, columns | {"sequence_id": pa.array(at[:, 3] + k // at[:, 2]), "offset": pa.array(at[:, 4] + k % at[:, 2] * length)})
 
-    return cut.join(counts.select("length", "part", "before"), ["length", "part"]).mapInArrow(place, PACKED)
+    # the counts grow with tasks and lengths, so they are never broadcast
+    return cut.join(counts.select("length", "part", "before").hint("merge"), ["length", "part"]).mapInArrow(place, PACKED)
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
