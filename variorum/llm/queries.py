@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import chat, language, line_dedup, near_dedup, packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": token_counts.query,
+        "op2_line_dedup": line_dedup.query,
+        "op3_language_id": language.query,
         "op5_best_fit_packing": packing.query,
+        "op9_chat_formatting": chat.query,
+        "op10_minhash_near_dedup": near_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE,
+        "op9_chat_formatting": chat.ORACLE,
+    }
