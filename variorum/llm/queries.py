@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, line_dedup, near_dedup, packing, token_counts
+from . import chat, language, line_dedup, media, mixing, near_dedup, packing, quality, secrets, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,11 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": token_counts.query,
         "op2_line_dedup": line_dedup.query,
         "op3_language_id": language.query,
+        "op4_mixing": mixing.query,
         "op5_best_fit_packing": packing.query,
+        "op6_media_sniffing": media.query,
+        "op7_secret_scan": secrets.query,
+        "op8_quality_rules": quality.query,
         "op9_chat_formatting": chat.query,
         "op10_minhash_near_dedup": near_dedup.query,
     }
@@ -25,5 +29,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.ORACLE,
+        "op4_mixing": mixing.ORACLE,
         "op9_chat_formatting": chat.ORACLE,
     }
