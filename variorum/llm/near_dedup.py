@@ -11,30 +11,30 @@ documents agree in a register with the probability of their weighted Jaccard sim
 in order of time and a process ends once it is later than the document's latest register, which takes
 a nearly constant number of points for each document.  All documents of a batch advance together.
 
-Candidates and links.  Equal texts are one class from the start (by 256-bit digest).  Signatures of
-class representatives are cut into bands; representatives that share a band are a bucket.  Links are
-verified exactly on the texts.  Buckets are worked off in rounds: in each, a growing share of a
-bucket's members (about 1, 8, 64, ... of them, picked by hash) are leaders and every member of another
-component meets each of them.  Verified links join components; a bucket that is one component is done.
-In the last round all members that are left have been leaders, so no candidate pair between
-components goes untested, while a bucket of similar documents takes a number of pairs in
-proportion to its size.  Components come from repeated large-star and small-star steps on written
-tables.
+Candidates and links.  A text is known by 128 bits of its digest, so equal texts are one from the
+start.  Signatures are cut into bands; texts that share a band are a bucket, and buckets with the same
+members are one.  A bucket's texts meet in one task, which compares each pair in the first band that
+the pair shares: by signature, then exactly by their words, unless earlier links connect them already;
+it gives links, a forest, not pairs.  Buckets larger than ``block`` texts are dealt into blocks by
+hash and each two blocks meet in a task of their own, so no task holds more than two blocks and no
+pair is lost; before that, the members of such buckets are linked to the bucket's least text where
+they are similar, and buckets that are one component by then are done.  Components come from
+repeated large-star and small-star steps on written tables.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands: at 0.8 with 32 bands of
-6 rows 0.99994.  Pairs of which the signatures agree in fewer registers than six standard deviations
+6 rows 0.99994.  Pairs of which the signatures agree in fewer registers than five standard deviations
 below the threshold allow aren't compared word by word.
 
 Defined results: texts of fewer than five words are one shingle of all their words; texts without
-a word (and nulls) are classes of their own.  A null id gets class null.  Ids are expected to be
-unique: rows that share one share a class, for which one of their texts stands.  Repeated rows are
-exact copies of each other.
+a word (and nulls) are classes of their own: their class is their id.  A null id is a row like any
+other; a class of null ids only is null.  Repeated rows are exact copies of each other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
@@ -167,42 +167,45 @@ def _jaccard(x: Counter, y: Counter) -> float:
     return shared / total if total else 0.0
 
 
-SIGNED = "_v_id long, copy_key binary, size long, bands array<long>, sketch binary"
-_SIGNED = pa.schema([("_v_id", pa.int64()), ("copy_key", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIGNED = "_v_id long, tid binary, size long, bands array<long>, sketch binary"
+_SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest of the text, number of shingles, band keys and one byte of each register."""
+    """Digest of each text; and for its first row in a task its number of shingles, band keys and one byte
+    of each register.  Texts without a word have no digest."""
     size = bands * rows
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch, texts in batches(source, "text", 1_000_000):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            owner, value, count = shingles(raw, words)
-            bits = signatures(owner, value, count, len(raw), size).view(np.uint64)
-            folded = mix(bits)
-            key = np.zeros((len(raw), bands), np.uint64)
+            tids = [hashlib.sha256(x).digest()[:16] for x in raw]
+            fresh = [i for i, t in enumerate(tids) if t not in seen and not seen.add(t)]
+            owner, value, count = shingles([raw[i] for i in fresh], words)
+            folded = mix(signatures(owner, value, count, len(fresh), size).view(np.uint64))
+            key = np.zeros((len(fresh), bands), np.uint64)
             for r in range(rows):
                 key = mix(key * _STEP + folded[:, r::rows])
             key = mix(key + np.arange(bands, dtype=np.uint64) * _GOLDEN).view(np.int64)
-            total = np.bincount(owner, count, len(raw)).astype(np.int64)
+            total = np.bincount(owner, count, len(fresh)).astype(np.int64)
             low = (folded >> np.uint64(56)).astype(np.uint8)
-            ids = batch.column(0)
-            has = total > 0
+            own: list[tuple] = [(0, None, None)] * len(raw)
+            for i, n, k, x in zip(fresh, total.tolist(), key, low):
+                if n:
+                    own[i] = (n, k.tolist(), x.tobytes())
+            sizes, keys, sketches = zip(*own)
+            worded = [bool(_WORD.search(x)) for x in raw]
             yield out_batch(
-                _SIGNED,
-                {
-                    "_v_id": ids,
-                    "copy_key": [hashlib.sha256(x).digest() if h else None for x, h in zip(raw, has)],
-                    "size": total,
-                    "bands": [k.tolist() if h else [] for k, h in zip(key, has)],
-                    "sketch": [x.tobytes() if h else None for x, h in zip(low, has)],
-                },
+                _SIGNED, {"_v_id": batch.column(0), "tid": [t if w else None for t, w in zip(tids, worded)], "size": list(sizes), "bands": list(keys), "sketch": list(sketches)}
             )
 
     return docs.select(F.col(id_col).cast("long").alias("_v_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]")
+
+
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for the nodes of undirected ``edges`` (a, b): the least node that is connected.
 
@@ -214,124 +217,157 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         both = pairs.union(pairs.select("b", "a")) if large else pairs
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         met = both.join(least, "a")
-        out = met.filter("b > a").select(F.col("b").alias("x"), "m") if large else met.select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
+        out = met.filter("b > a").select(F.col("b").alias("x"), "m") if large else met.select(F.explode(F.array("a", "b")).alias("x"), "m")
         return out.filter("x != m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), name)
     mark = None
     while True:
-        now = written(star(star(now, True), False), name)
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if row == mark:
+        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
+        if row[0] == 0 or row == mark:
             break
         mark = row
+        now = written(star(star(now, True), False), name)
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def _agree(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs whose sketches agree in at least so many registers."""
+def _linked(pairs: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
+    """Pairs (a, b, sketch_a, sketch_b, text_a, text_b) that are as similar as the threshold."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            near = (x == y).sum(1) >= least
-            part = batch.filter(pa.array(near))
-            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"])
+        bags: OrderedDict[bytes, Counter] = OrderedDict()
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """Pairs (a, b, text_a, text_b) that are as similar as the threshold, by their words."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: OrderedDict[int, Counter] = OrderedDict()
-
-        def of(i: int, text: str) -> Counter:
+        def of(i: bytes, text: str) -> Counter:
             if i not in bags:
                 bags[i] = bag(text, words)
                 if len(bags) > 64:
                     bags.popitem(last=False)
-            else:
-                bags.move_to_end(i)
             return bags[i]
 
         for batch in source:
-            keep = [_jaccard(of(a, x), of(b, y)) >= threshold for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))]
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"])
+            found = []
+            for a, b, x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                near = (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum() >= least
+                if near and _jaccard(of(a, s), of(b, t)) >= threshold:
+                    found.append((a, b))
+            if found:
+                yield out_batch(_LINKS, dict(zip("ab", zip(*found))))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+class _Bucket:
+    """The texts of a bucket (or of two blocks of one) in a task, and the links among them."""
+
+    def __init__(self, rows: list[tuple], least: int, threshold: float, words: int):
+        known: dict[bytes, tuple] = {}
+        for row in rows:
+            known.setdefault(row[0], row)
+        self.tids = list(known)
+        _, self.roots, sizes, sides, places, bands, sketches, self.texts = map(list, zip(*known.values()))
+        self.sizes = np.array(sizes)
+        self.sides = np.array(sides)
+        self.cross = len(set(sides)) > 1
+        self.place = places[0]
+        self.bands = np.array([b[: self.place] for b in bands], np.int64).reshape(len(bands), self.place)
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+        self.least, self.threshold, self.words = least, threshold, words
+        self.parent: dict[bytes, bytes] = {}
+        self.bags: dict[int, Counter] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(p, p)
+        return x
+
+    def bag(self, i: int) -> Counter:
+        if i not in self.bags:
+            self.bags[i] = bag(self.texts[i], self.words)
+        return self.bags[i]
+
+    def links(self) -> Iterator[tuple[bytes, bytes]]:
+        for i in range(1, len(self.tids)):
+            near = (self.sketches[:i] == self.sketches[i]).sum(1) >= self.least
+            small, large = np.minimum(self.sizes[:i], self.sizes[i]), np.maximum(self.sizes[:i], self.sizes[i])
+            near &= small >= self.threshold * large
+            if self.cross:
+                near &= self.sides[:i] != self.sides[i]
+            if self.place:
+                near &= ~(self.bands[:i] == self.bands[i]).any(1)
+            for j in np.flatnonzero(near).tolist():
+                x, y = self.find(self.roots[i]), self.find(self.roots[j])
+                if x != y and _jaccard(self.bag(i), self.bag(j)) >= self.threshold:
+                    self.parent[max(x, y)] = min(x, y)
+                    yield self.tids[i], self.tids[j]
+
+
+def _bucket_links(rows: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
+    """Links of rows (key, p, q, side, tid, root, size, place, bands, sketch, text) within each (key, p, q)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 and (found := list(_Bucket(held, least, threshold, words).links())):
+                yield out_batch(_LINKS, dict(zip("ab", zip(*found))))
+
+        for batch in source:
+            for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, p, q) != current:
+                    yield from close()
+                    current, held = (key, p, q), []
+                held.append(tuple(row))
+        yield from close()
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    dealt = rows.select("key", "p", "q", "tid", "root", "size", "side", "place", "bands", "sketch", "text").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tid")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_classes(
-    docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", growth: int = 8
+    docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
 ) -> DataFrame:
-    """(doc_id, class_id, copy_of): the least id of the document's near-duplicate class, and of its exact copies."""
+    """(doc_id, class_id): the least id of the document's near-duplicate class."""
     size = bands * rows
+    least = max(0, math.floor(size * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / size))))
     signed = written(sign(docs, words, bands, rows, id_col, text_col), "signed")
-    copies = signed.filter("copy_key is not null and _v_id is not null").groupBy("copy_key").agg(F.min("_v_id").alias("rep"))
-    members = written(
-        signed.select("_v_id", "copy_key").join(copies, "copy_key", "left").select("_v_id", F.coalesce("rep", "_v_id").alias("rep")), "members"
-    )
-    own = members.filter("_v_id = rep").select(F.col("_v_id").alias("rep")).distinct()
-    # a representative id stands for one text; of rows that share it the one with the least digest signs
-    light = signed.filter("size > 0").join(copies.select("copy_key", F.col("rep").alias("_v_id")), ["copy_key", "_v_id"], "left_semi")
-    light = light.dropDuplicates(["_v_id"])
-    banded = light.select(F.col("_v_id").alias("rep"), "size", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bucket = banded.join(shared, "key").withColumn("at", (F.xxhash64("key", "rep").cast("double") / 2.0**64 + 0.5))
-    bucket = written(bucket, "buckets")
-    ids = bucket.select("rep").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    texts = written(
-        light.select(F.col("_v_id").alias("rep"), "sketch").join(ids, "rep", "left_semi").join(texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"]), "rep"), "texts"
-    )
-    most = bucket.agg(F.max("n")).first()[0] or 0
-    least = max(0, math.floor(size * (threshold - 6 * math.sqrt(threshold * (1 - threshold) / size))))
-    root: DataFrame | None = None
-    links: DataFrame | None = None
-    failed: DataFrame | None = None
-    before, leaders = 0.0, 1.0
-    while most > 1:
-        last = leaders >= most
-        labelled = bucket.withColumn("root", F.col("rep")) if root is None else bucket.join(root, bucket["rep"] == root["node"], "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-        open_ = labelled.filter(F.col("n") > before).groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.min("at").alias("_first")).filter("_x != _y").select("key", "_first")
-        active = written(labelled.join(open_, "key"), "active")
-        if active.isEmpty():
-            break
-        # leaders of this round: at in [before/n, leaders/n), and in the first round the first of each bucket
-        done, now = F.col("at") < before / F.col("n"), F.lit(True) if last else (F.col("at") < leaders / F.col("n"))
-        was = F.lit(False) if before == 0 else done | (F.col("at") == F.col("_first"))
-        is_now = (now | (F.col("at") == F.col("_first"))) & ~was
-        flagged = active.withColumn("lead", is_now).filter(~was)
-        a = flagged.filter("lead").select("key", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"))
-        b = flagged.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("lead").alias("lead_b"))
-        sized = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-        pairs = a.join(b, "key").filter((F.col("root_a") != F.col("root_b")) & sized & (~F.col("lead_b") | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        sketch = texts.select("rep", "sketch")
-        near = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        near = _agree(near, least)
-        whole = texts.select("rep", "text")
-        good = near.join(whole.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        good = written(_verified(good, threshold, words), "links")
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        failed = bad if failed is None else failed.union(bad)
-        links = good if links is None else links.union(good)
-        root = written(components(links), "roots")
-        if last:
-            break
-        before, leaders = leaders, leaders * growth
-    classes = members.withColumn("class_id", F.col("rep"))
-    if root is not None:
-        classes = members.join(root, members["rep"] == root["node"], "left").withColumn("class_id", F.coalesce("root", "rep"))
-    return classes.select(F.col("_v_id").alias("doc_id"), "class_id", F.col("rep").alias("copy_of"))
+    banded = signed.filter("bands is not null").select("tid", F.posexplode("bands").alias("place", "key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("all"), F.min("place").alias("place"))
+    buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all").agg(F.min(F.struct("place", "key")).alias("k"))
+    buckets = buckets.select("k.key", "k.place", "n", "low")
+    held = written(banded.select("tid", "key").join(buckets, "key"), "buckets")
+    ids = held.select("tid").distinct()
+    tid = F.unhex(F.substring(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), 1, 32))
+    texts = docs.select(tid.alias("tid"), F.col(text_col).cast("string").alias("text")).join(ids, "tid", "left_semi").dropDuplicates(["tid"])
+    facts = signed.filter("bands is not null").select("tid", "size", "bands", "sketch").join(ids, "tid", "left_semi").dropDuplicates(["tid"])
+    texts = written(texts.join(facts, "tid"), "texts")
+
+    links = None
+    most = held.agg(F.max("n")).first()[0] or 0
+    held = held.withColumn("root", F.col("tid"))
+    if most > block:
+        pairs = held.filter((F.col("n") > block) & (F.col("low") != F.col("tid"))).select(F.col("tid").alias("a"), F.col("low").alias("b")).distinct()
+        side = lambda x: texts.select(F.col("tid").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("text").alias(f"text_{x}"))
+        links = written(_linked(pairs.join(side("a"), "a").join(side("b"), "b"), least, threshold, words), "links")
+        to = components(links, "starred")
+        held = held.drop("root").join(to, held["tid"] == to["node"], "left").withColumn("root", F.coalesce("root", "tid")).drop("node")
+        open_ = held.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("key")
+        held = written(held.join(open_, "key", "left_semi"), "open")
+    # blocks of large buckets: a member goes to the tasks of its own block with each block
+    n_blocks = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+    dealt = held.withColumn("blocks", n_blocks).withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "_o").alias("p"), F.greatest("side", "_o").alias("q"), "side", "tid", "root", "place")
+    found = written(_bucket_links(dealt.join(texts, "tid"), least, threshold, words), "links")
+    links = found if links is None else links.union(found)
+    root = components(links)
+
+    grouped = signed.select("_v_id", "tid").join(root, signed["tid"] == root["node"], "left").select("_v_id", F.coalesce("root", "tid").alias("root"))
+    grouped = written(grouped, "grouped")
+    classes = grouped.filter("root is not null").groupBy("root").agg(F.min("_v_id").alias("class_id"))
+    return grouped.join(classes, "root", "left").select(F.col("_v_id").alias("doc_id"), F.when(F.col("root").isNull(), F.col("_v_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
