@@ -88,7 +88,7 @@ class Fit:
     @property
     def p(self) -> np.ndarray:
         """Two-sided p-values by the normal distribution."""
-        se = np.sqrt(np.diag(self.cov))
+        se = np.sqrt(np.maximum(np.diag(self.cov), 0.0))
         return np.array([2 * normal_sf(abs(b / s)) if s > 0 else float("nan") for b, s in zip(self.coef, se)])
 
     def wald(self, terms: list[str]) -> tuple[float, float]:
@@ -148,9 +148,11 @@ def vif(df: DataFrame, terms: list[str]) -> dict[str, float]:
     xx, _ = unpack(row, len(names))
     n, mean = row["n"], xx[0, 1:] / row["n"]
     cov = xx[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.diag(cov))
-    inverse = np.linalg.pinv(cov / np.outer(sd, sd))
-    return dict(zip(terms, np.diag(inverse).tolist()))
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    varies = sd > 1e-12  # a constant term inflates nothing and has no factor
+    inverse = np.linalg.pinv(cov[np.ix_(varies, varies)] / np.outer(sd[varies], sd[varies]))
+    found = iter(np.diag(inverse).tolist())
+    return {t: next(found) if v else float("nan") for t, v in zip(terms, varies)}
 
 
 def cluster_bootstrap(df: DataFrame, y: str, terms: list[str], cluster: str, b: int, seed: int) -> np.ndarray:
