@@ -136,6 +136,7 @@ def identify(
     docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, longest: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """The ``keep`` columns with lang_pred and score, for the whole text of each row."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     kept = docs.select(*keep).schema
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size, longest))
 

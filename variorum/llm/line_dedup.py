@@ -85,6 +85,7 @@ def dedup_lines(
     docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")
 ) -> DataFrame:
     """``docs`` with repeated passages gone from the text, and the lines before and removed."""
+    docs = docs.drop(*counts)
     found = written(chunks(docs, window, divisor, least_lines, id_col, text_col), "chunks-all")
     gone = repeated(found).groupBy("_v_id").agg(F.sort_array(F.collect_set(F.struct("_v_from", "_v_to"))).alias("_v_gone"))
     joined = docs.withColumn("_v_key", F.col(id_col).cast("long")).join(gone, F.col("_v_key") == F.col("_v_id"), "left").drop("_v_key", "_v_id")

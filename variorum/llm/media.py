@@ -268,11 +268,11 @@ def feature(kind: str | None, embedded: int, payload: bytes) -> str:
 
 def inspect(media: DataFrame, media_col: str = "media", declared_col: str = "declared", read: bool = False) -> DataFrame:
     """The other columns of ``media`` with what sniffing found; with ``read``, what the samples hold too."""
-    others = [c for c in media.columns if c != media_col]
+    results = [f for part in ((SNIFFED, READ) if read else (SNIFFED,)) for f in media.sparkSession.createDataFrame([], part).schema]
+    others = [c for c in media.columns if c != media_col and c not in {f.name for f in results}]
     schema = media.select(*others).schema
-    for part in (SNIFFED, READ) if read else (SNIFFED,):
-        for field in media.sparkSession.createDataFrame([], part).schema:
-            schema = schema.add(field)
+    for field in results:
+        schema = schema.add(field)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:

@@ -208,6 +208,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for the nodes of undirected ``edges`` (a, b): the least node that is connected.
+    Nodes that are their own root have no row.
 
     Large-star and small-star steps in turn until a step changes nothing; a node with very many
     neighbours is handled by an aggregate and a join, never as one group.

@@ -17,7 +17,8 @@ distance.  Statistics are integers (1/256 of their unit), sums are exact, so res
 on partitions.  Sources with fewer than ``least`` texts of a language are pooled; where the pool has
 fewer too, there is no estimate and texts pass.
 
-Nulls: a null text has no words (and fails); null languages and sources are the value ''.
+Nulls: a null text has no words (and fails); null languages and sources are the value ''.  Columns
+that have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from ._frames import table, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-STATS = ("x0", "x1", "x2", "x3")
+STATS = ("_v_x0", "_v_x1", "_v_x2", "_v_x3")
 UNIT = 256
 
 
@@ -67,7 +68,7 @@ def covered(windows: Column, span: int = 8) -> Column:
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts (_v_ prefix) and the statistics vector x0 to x3."""
+    """``docs`` with the base counts (_v_ prefix) and the statistics vector (_v_x0 to _v_x3)."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = lambda pattern: F.length(F.regexp_replace("_v_t", pattern, "")).cast("long")
     docs = docs.withColumn("_v_t", t)
@@ -90,10 +91,10 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     whole = lambda x: F.round(F.lit(float(UNIT)) * x).cast("long")
     return docs.withColumns(
         {
-            "x0": whole(F.log((F.col("_v_word_chars") + 1) / n)),
-            "x1": whole(F.log1p(100.0 * F.col("_v_n_symbols") / n)),
-            "x2": whole(F.log1p(100.0 * F.col("_v_upper") / chars)),
-            "x3": whole(F.log1p(100.0 * (F.col("_v_word_chars") - F.col("_v_letters")) / chars)),
+            "_v_x0": whole(F.log((F.col("_v_word_chars") + 1) / n)),
+            "_v_x1": whole(F.log1p(100.0 * F.col("_v_n_symbols") / n)),
+            "_v_x2": whole(F.log1p(100.0 * F.col("_v_upper") / chars)),
+            "_v_x3": whole(F.log1p(100.0 * (F.col("_v_word_chars") - F.col("_v_letters")) / chars)),
         }
     ).drop("_v_t", "_v_words", "_v_lines", "_v_windows")
 
@@ -122,14 +123,14 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
 
 
-def _distance() -> Column:
+def _distance(prefix: str = "") -> Column:
     """Squared Mahalanobis distance of x to the centre c under the Cholesky factor l of the covariance."""
     y: list[Column] = []
     for i, x in enumerate(STATS):
-        rest = F.col(x) - F.col(f"c{i}")
+        rest = F.col(x) - F.col(f"{prefix}c{i}")
         for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * y[j]
-        y.append(rest / F.col(f"l{i}{i}"))
+            rest = rest - F.col(f"{prefix}l{i}{j}") * y[j]
+        y.append(rest / F.col(f"{prefix}l{i}{i}"))
     total = y[0] * y[0]
     for v in y[1:]:
         total = total + v * v
@@ -203,12 +204,13 @@ def judged(docs: DataFrame, keys: tuple[str, str] = ("lang", "source"), text_col
     told = written(told, "statistics")
     bulk = told.filter(~F.col("_v_base_failed")).select(*names, *STATS)
     inside = chi2_cdf(chi2_quantile(share, len(STATS)), len(STATS) + 2)
-    found = told.join(estimates(bulk, names, share, steps), names, "left")
-    distance = F.when(F.col("n") >= least, _distance() * F.lit(inside / share))
-    found = found.withColumn("distance", distance)
-    within = F.coalesce(F.col("distance") <= chi2_quantile(far, len(STATS)), F.lit(True))
+    bulks = estimates(bulk, names, share, steps)
+    found = told.join(bulks.select(*names, *[F.col(c).alias(f"_v_{c}") for c in bulks.columns if c not in names]), names, "left")
+    found = found.withColumn("_v_distance", F.when(F.col("_v_n") >= least, _distance("_v_") * F.lit(inside / share)))
+    within = F.coalesce(F.col("_v_distance") <= chi2_quantile(far, len(STATS)), F.lit(True))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return found.select(*own, *[F.col(f"_v_{c}").alias(c) for c in counts], F.col("_v_base_failed").alias("base_failed"), (~F.col("_v_base_failed") & within).alias("kept"), F.round("distance", 3).alias("distance"))
+    own = [c for c in own if c not in (*counts, "base_failed", "kept", "distance")]
+    return found.select(*own, *[F.col(f"_v_{c}").alias(c) for c in counts], F.col("_v_base_failed").alias("base_failed"), (~F.col("_v_base_failed") & within).alias("kept"), F.round("_v_distance", 3).alias("distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
