@@ -117,6 +117,73 @@ def dedup_lines(
     return joined.mapInArrow(remove, out)
 
 
+PAIRS = "_v_id long, _v_at int, _v_hash binary, _v_pair string"
+_PAIRS = pa.schema([("_v_id", pa.int64()), ("_v_at", pa.int32()), ("_v_hash", pa.binary()), ("_v_pair", pa.string())])
+
+
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each two non-blank lines of a text that follow each other (blank lines between them don't count)."""
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(source, "_v_text", 1_000_000, 512):
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), texts):
+                if doc is None or not text or "\n" not in text:
+                    continue
+                full = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
+                for (i, x), (_, y) in zip(full, full[1:]):
+                    pair = f"{x}\n{y}"
+                    rows.append((doc, i, hashlib.md5(pair.encode(), usedforsecurity=False).digest(), pair))
+            if rows:
+                yield out_batch(_PAIRS, dict(zip(_PAIRS.names, zip(*rows))))
+
+    return docs.select(F.col(id_col).cast("long").alias("_v_id"), F.col(text_col).cast("string").alias("_v_text")).mapInArrow(cut, PAIRS)
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """As ``dedup_lines``, but for every run of two or more lines that stands earlier, wherever chunks end.
+
+    A run is the union of its pairs of neighbouring lines, so the pairs that stand earlier (by id, then
+    position) give each run to its ends, and no line goes without an equal one before it.  Blank lines
+    inside a run go with it.
+    """
+    docs = docs.drop(*counts)
+    found = written(pairs(docs, id_col=id_col, text_col=text_col), "pairs")
+    common = found.groupBy("_v_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_v_hash")
+    again = written(found.join(common, "_v_hash", "left_semi"), "pairs-again")
+    place = F.struct("_v_id", "_v_at")
+    first = again.groupBy("_v_hash", "_v_pair").agg(F.min(place).alias("_v_first"))
+    late = again.join(first, ["_v_hash", "_v_pair"]).filter(place != F.col("_v_first"))
+    gone = late.groupBy("_v_id").agg(F.sort_array(F.collect_set("_v_at")).alias("_v_gone"))
+    joined = docs.withColumn("_v_key", F.col(id_col).cast("long")).join(gone, F.col("_v_key") == F.col("_v_id"), "left").drop("_v_key", "_v_id")
+    kept = docs.schema
+    out = kept.fromJson(kept.jsonValue()).add(counts[0], "long").add(counts[1], "long")
+
+    def remove(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in source:
+            at, mark = whole.schema.get_field_index(text_col), whole.schema.get_field_index("_v_gone")
+            for batch, texts in batches(iter([whole]), text_col):
+                new, before, removed = [], [], []
+                for text, starts in zip(texts, batch.column(mark).to_pylist()):
+                    lines = [] if text is None else text.split("\n")
+                    less: set[int] = set()
+                    for i in starts or ():
+                        less.add(i)
+                        j = i + 1
+                        while j < len(lines) and not lines[j].strip(" "):
+                            less.add(j)
+                            j += 1
+                        less.add(j)
+                    new.append("\n".join(x for i, x in enumerate(lines) if i not in less) if less and text is not None else text)
+                    before.append(len(lines))
+                    removed.append(len(less))
+                columns = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if i != mark]
+                names = [x for i, x in enumerate(batch.schema.names) if i != mark]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts])
+
+    return joined.mapInArrow(remove, out)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op2_line_dedup``: all documents without passages that stand in an earlier one."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
