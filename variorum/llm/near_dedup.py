@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._frames import batches, out_batch, table, written
@@ -327,10 +327,15 @@ def _bucket_links(rows: DataFrame, least: int, threshold: float, words: int) ->
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def near_classes(
+def digest(text_col: str = "text") -> Column:
+    """The 128 bits by which a text is known (``tid``)."""
+    return F.unhex(F.substring(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), 1, 32))
+
+
+def rooted(
     docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
 ) -> DataFrame:
-    """(doc_id, class_id): the least id of the document's near-duplicate class."""
+    """(_v_id, tid, root) of each row: its text and the text that stands for its class (nulls without a word)."""
     size = bands * rows
     least = max(0, math.floor(size * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / size))))
     signed = written(sign(docs, words, bands, rows, id_col, text_col), "signed")
@@ -340,8 +345,7 @@ def near_classes(
     buckets = buckets.select("k.key", "k.place", "n", "low")
     held = written(banded.select("tid", "key").join(buckets, "key"), "buckets")
     ids = held.select("tid").distinct()
-    tid = F.unhex(F.substring(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), 1, 32))
-    texts = docs.select(tid.alias("tid"), F.col(text_col).cast("string").alias("text")).join(ids, "tid", "left_semi").dropDuplicates(["tid"])
+    texts = docs.select(digest(text_col).alias("tid"), F.col(text_col).cast("string").alias("text")).join(ids, "tid", "left_semi").dropDuplicates(["tid"])
     facts = signed.filter("bands is not null").select("tid", "size", "bands", "sketch").join(ids, "tid", "left_semi").dropDuplicates(["tid"])
     texts = written(texts.join(facts, "tid"), "texts")
 
@@ -365,8 +369,14 @@ def near_classes(
     links = found if links is None else links.union(found)
     root = components(links)
 
-    grouped = signed.select("_v_id", "tid").join(root, signed["tid"] == root["node"], "left").select("_v_id", F.coalesce("root", "tid").alias("root"))
-    grouped = written(grouped, "grouped")
+    return signed.select("_v_id", "tid").join(root, signed["tid"] == root["node"], "left").select("_v_id", "tid", F.coalesce("root", "tid").alias("root"))
+
+
+def near_classes(
+    docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
+) -> DataFrame:
+    """(doc_id, class_id): the least id of the document's near-duplicate class."""
+    grouped = written(rooted(docs, words, bands, rows, threshold, id_col, text_col, block).select("_v_id", "root"), "grouped")
     classes = grouped.filter("root is not null").groupBy("root").agg(F.min("_v_id").alias("class_id"))
     return grouped.join(classes, "root", "left").select(F.col("_v_id").alias("doc_id"), F.when(F.col("root").isNull(), F.col("_v_id")).otherwise(F.col("class_id")).alias("class_id"))
 
