@@ -12,6 +12,11 @@ Cells are counted with partial sums.  Up to ``few_cells`` cells the raking is do
 and the result is broadcast (a checked, bounded size); beyond, sweeps run as windows over written
 tables and the cells are joined to salted documents, with equal results.
 
+With ``capped`` no probability exceeds 1 in the first place, so the drawn tokens have the target mixture
+without weights: cells are scaled in the same way but never beyond their tokens, and what a cell lacks
+goes to the other cells.  A value that has fewer tokens than its target is taken whole, and the other
+values of its dimension share what it lacks (``reachable``).
+
 Targets: shares by value, or an exponent: a value's share is then its own share to that power (0:
 equal shares, 1: as it is).  Values without a target get none.  Null values are the value ''.
 Documents without tokens (null, empty, blank) have no weight and are never drawn.
@@ -31,6 +36,8 @@ DIMS = ("source", "lang", "topic")
 #: Production targets: exponents of the present shares.
 TARGETS: dict[str, float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEEP, SWEEPS, SEED = 0.7, 10, 4
+#: Sweeps with caps end when none of the cells moves by this share of all tokens, or after so many.
+CLOSE, CAPPED_SWEEPS = 1e-8, 300
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,6 +91,76 @@ def rake(keys: list[tuple[str, ...]], tokens: np.ndarray, targets: list[float |
     return fitted
 
 
+def reachable(want: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``want`` (tokens by value) with what exceeds ``most`` dealt to the other values in proportion."""
+    total, full = want.sum(), np.zeros(len(want), bool)
+    out = want.astype(float)
+    while (over := (out > most) & ~full).any():
+        full |= over
+        rest, free = max(total - most[full].sum(), 0.0), want[~full].sum()
+        out = np.where(full, most, want * (rest / free if free else 0.0))
+    return out
+
+
+def rake_capped(keys: list[tuple[str, ...]], tokens: np.ndarray, targets: list[float | Mapping[str, float]], keep: float, sweeps: int = CAPPED_SWEEPS) -> np.ndarray:
+    """Tokens to draw of each cell: at most its own, with the target shares of ``keep`` of all tokens."""
+    most, dims = tokens.astype(float), []
+    drawn = most * keep
+    for d, target in enumerate(targets):
+        names, code = np.unique([k[d] for k in keys], return_inverse=True)
+        sums = np.bincount(code, most, len(names))
+        share = _shares({str(n): x / most.sum() for n, x in zip(names, sums)}, target)
+        able = np.array([share[str(n)] for n in names])
+        dims.append((code, reachable(able * most.sum() * keep, sums)))
+    for _ in range(sweeps):
+        last = drawn
+        for code, want in dims:
+            have = np.bincount(code, drawn, len(want))
+            by = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
+            drawn = np.minimum(drawn * by[code], most)
+        if np.abs(drawn - last).max() < CLOSE * most.sum():
+            break
+    return drawn
+
+
+def _capped_windows(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], keep: float, sweeps: int = CAPPED_SWEEPS) -> DataFrame:
+    """The same for any number of cells: windows over written tables, and ``reachable`` as aggregates."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now = cells.withColumn("fitted", F.col("tokens") * F.lit(float(keep)))
+    for name, target in zip(names, targets):
+        sums = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("own"))
+        if isinstance(target, int | float):
+            sums = sums.withColumn("raw", F.pow(F.col("own") / F.lit(total or 1.0), F.lit(float(target))))
+        else:
+            given = spark.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, raw double")
+            sums = sums.join(given, F.col(name) == F.col("value"), "left").select(name, "own", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+        every = sums.agg(F.sum("raw")).first()[0] or 1.0
+        sums = written(sums.select(name, "own", (F.col("raw") / every * total * float(keep)).alias("ask")), "wants")
+        by, goal = 1.0, sums.agg(F.sum("ask")).first()[0] or 0.0
+        while True:  # values that are taken whole grow in number until the rest can take what they lack
+            full = F.col("ask") * F.lit(by) > F.col("own")
+            whole, free = sums.agg(F.sum(F.when(full, F.col("own")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("ask")))).first()
+            new = max(goal - (whole or 0.0), 0.0) / free if free else 0.0
+            if new <= by * (1 + 1e-12):
+                break
+            by = new
+        now = now.join(sums.select(name, F.least(F.col("ask") * F.lit(by), F.col("own")).alias(f"want_{name}")), name)
+    now = written(now, "cells")
+    for _ in range(sweeps):
+        now = now.withColumn("last", F.col("fitted"))
+        for name in names:
+            have = F.sum("fitted").over(Window.partitionBy(name))
+            want = F.col(f"want_{name}")
+            now = now.withColumn("_have", have)
+            now = now.withColumn("fitted", F.when(F.col("_have") > 0, F.least(F.col("fitted") * want / F.col("_have"), F.col("tokens").cast("double"))).otherwise(0.0)).drop("_have")
+        now = written(now, "cells")
+        if (now.agg(F.max(F.abs(F.col("fitted") - F.col("last")))).first()[0] or 0.0) < CLOSE * total or not total:
+            break
+        now = now.drop("last")
+    return now.select(*names, "tokens", "fitted")
+
+
 def _rake_windows(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], sweeps: int) -> DataFrame:
     """The same for any number of cells: windows over written tables."""
     spark = cells.sparkSession
@@ -123,6 +200,7 @@ def calibrated(
     id_col: str = "doc_id",
     text_col: str = "text",
     few_cells: int = 100_000,
+    capped: bool = False,
 ) -> DataFrame:
     """``docs`` with _v_source, _v_lang, _v_topic, _v_tokens, _v_probability, _v_weight and _v_drawn."""
     spark = docs.sparkSession
@@ -135,13 +213,18 @@ def calibrated(
         rows.sort()
         keys = [tuple(r[n] for n in names) for r in rows]
         tokens = np.array([r["tokens"] for r in rows], np.int64)
-        fitted = rake(keys, tokens, wanted, sweeps) if rows else tokens
+        fitted = tokens
+        if rows:
+            fitted = rake_capped(keys, tokens, wanted, keep) / keep if capped else rake(keys, tokens, wanted, sweeps)
         schema = ", ".join(f"{n} string" for n in names) + ", _v_copies double"
         small = spark.createDataFrame([(*k, float(f / t) * keep) for k, f, t in zip(keys, fitted, tokens)], schema)
         met = told.join(F.broadcast(small), names, "left")
     else:
         salts = 32
-        large = _rake_windows(cells, names, wanted, sweeps).select(*names, (F.col("fitted") / F.col("tokens") * keep).alias("_v_copies"))
+        if capped:
+            large = _capped_windows(cells, names, wanted, keep).select(*names, (F.col("fitted") / F.col("tokens")).alias("_v_copies"))
+        else:
+            large = _rake_windows(cells, names, wanted, sweeps).select(*names, (F.col("fitted") / F.col("tokens") * keep).alias("_v_copies"))
         large = large.withColumn("_v_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = told.withColumn("_v_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
         met = salted.join(large, [*names, "_v_salt"], "left").drop("_v_salt")
