@@ -66,3 +66,18 @@ def test_capped_mixing_both_ways(spark):
     assert few.keys() == many.keys() and all(abs(few[i][0] - many[i][0]) < 1e-4 for i in few)
     assert all(w == 1.0 for _, w in few.values()) and max(mixing.calibrated(docs).toPandas()["_v_weight"]) > 1
     assert mixing.calibrated(docs.filter("false"), capped=True).count() == 0 and mixing.calibrated(docs.filter("false"), capped=True, few_cells=-1).count() == 0
+
+
+def test_near_dedup_decides_by_row(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d = ([f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(4))
+    near = " ".join(a[:-1] + ["other"])
+    rows = [(1, " ".join(a), "en", "s", 0), (1, " ".join(b), "en", "s", 0), (1, near, "en", "s", 0), (1, " ".join(a), "en", "s", 0), (2, near, "en", "s", 0)]
+    rows += [(None, " ".join(c), "en", "s", 0), (None, " ".join(c), "en", "r", 0), (None, " ".join(d), "en", "s", 0), (None, " ".join(b), "en", "s", 0)]
+    rows += [(3, None, "en", "s", 0), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in P.dedup_near(spark, docs, str(tmp_path)).collect()]
+    texts = {near, " ".join(a)}
+    assert [i for i, t in got if t in texts] == [1]
+    rest = sorted(((i, t) for i, t in got if t not in texts), key=str)
+    assert rest == sorted([(1, " ".join(b)), (None, " ".join(c)), (None, " ".join(d)), (3, None), (4, ""), (None, None)], key=str)
