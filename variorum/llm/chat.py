@@ -24,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._frames import table
@@ -61,6 +61,9 @@ def unescape_role(role: str) -> str:
 def events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = 0) -> DataFrame:
     """The log that leads to the given messages: an ``open``, then the text as streamed deltas.
 
+    By a hash of its key a message has a superseded draft first, which is regenerated, edited, or deleted
+    and opened again; and beside one in eight a message stood that was deleted (items below 0).
+
     Rows with equal conversation and turn are messages of their own (``item``).  ``chunk`` is the
     number of characters of a delta; 0 streams a text in two halves.
     """
@@ -69,8 +72,23 @@ def events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     size = F.greatest(F.lit(1), F.ceil(F.length(whole) / 2).cast("int")) if not chunk else F.lit(chunk)
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(whole) - 1) / size).cast("int"))), lambda k: F.substring(whole, k * size + 1, size))
     log = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), item.cast("int").alias("item"), F.col(role).cast("string").alias("role"), parts.alias("_parts"))
-    return log.select("conv_id", "turn", "item", "role", F.posexplode("_parts").alias("_k", "text")).select(
-        "conv_id", "turn", "item", F.col("_k").cast("long").alias("seq"), F.when(F.col("_k") == 0, "open").otherwise("delta").alias("op"), "role", "text"
+    event = lambda op, x: F.struct((op if isinstance(op, Column) else F.lit(op)).alias("op"), x.alias("text"))
+    part, draft, none = F.col("_parts"), F.reverse(F.get("_parts", F.lit(0))), F.lit(None).cast("string")
+    told = lambda first: F.transform(part, lambda x, k: event(F.when(k == 0, F.lit(first)).otherwise(F.lit("delta")), x))
+    opened = F.array(event("open", draft))
+    streamed = F.array(event("open", draft), event("delta", draft))
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "item"), F.lit(8))
+    way = (
+        F.when(kind == 1, F.concat(streamed, F.array(event("regenerate", F.lit(""))), told("delta")))
+        .when(kind == 2, F.concat(opened, told("edit")))
+        .when(kind == 3, F.concat(opened, F.array(event("delete", none)), told("open")))
+        .otherwise(told("open"))
+    )
+    gone = F.when(kind == 4, F.concat(streamed, F.array(event("delete", none))))
+    both = F.array(F.struct(F.col("item").alias("item"), way.alias("e")), F.struct((-1 - F.col("item")).alias("item"), gone.alias("e")))
+    messages = log.select("conv_id", "turn", "role", F.explode(both).alias("_m")).select("conv_id", "turn", F.col("_m.item").alias("item"), "role", F.col("_m.e").alias("_e"))
+    return messages.select("conv_id", "turn", "item", "role", F.posexplode("_e").alias("_k", "_x")).select(
+        "conv_id", "turn", "item", F.col("_k").cast("long").alias("seq"), F.col("_x.op").alias("op"), "role", F.col("_x.text").alias("text")
     )
 
 
