@@ -3,7 +3,9 @@
 Patterns find candidates: assignments to a secret's name, access keys, long hexadecimal strings, and
 beyond these any long token that mixes letters and digits.  What the corpus says about a candidate
 decides what it is: its value is aggregated by distinct repositories and distinct owners.  A value
-that several owners hold is a widely copied example; one that a single owner holds looks live.
+that several owners or several repositories hold is a widely copied example; another looks live.
+Equal texts count once, for the least repository and owner among them: a copied document doesn't make its
+tokens widely copied.  Near copies count as texts of their own.
 
 Spans of the three base patterns are always reported.  The method adds the spans of other tokens that
 look live (kind ``owned``), where they don't overlap a base span.
@@ -53,7 +55,7 @@ def _matches(text: Column, pattern: str, kind: int, value: Column | None = None,
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """A row for each document: _v_row, doc_id, repository, owner, base (matches of the base patterns)
+    """A row for each document: _v_row, doc_id, repository, owner, digest of the text, base (matches of the base patterns)
     and other (further tokens), each an array of (start, kind, end, value)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     told = docs.select(
@@ -61,6 +63,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"),
         F.coalesce(repository if repository is not None else F.col("source"), F.lit("")).alias("repository"),
         F.coalesce(owner if owner is not None else F.col("source"), F.lit("")).alias("owner"),
+        F.sha2(text.cast("binary"), 256).alias("digest"),
         text.alias("_t"),
     )
     base = F.concat(_matches(F.col("_t"), ASSIGN, 0, least=6), _matches(F.col("_t"), ACCESS, 1, least=20), _matches(F.col("_t"), HEX, 2, least=24))
@@ -69,12 +72,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return told.withColumn("other", F.filter("other", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
 
 
-def ownership(found: DataFrame, most_owners: int = 2) -> DataFrame:
-    """(value, repositories, owners, live) over the whole corpus: live values have few owners."""
-    held = found.select("repository", "owner", F.explode(F.concat("base", "other")).alias("m")).select("repository", "owner", F.col("m.value").alias("value"))
-    held = held.distinct()
+def ownership(found: DataFrame, most_owners: int = 2, most_repositories: int = 2) -> DataFrame:
+    """(value, repositories, owners, live) over the corpus of distinct texts: live values have few of both."""
+    kept = found.filter(F.size("base") + F.size("other") > 0)
+    holder = F.min(F.struct("repository", "owner"))
+    texts = kept.select("digest", "repository", "owner", F.explode(F.concat("base", "other")).alias("m")).groupBy("digest", F.col("m.value").alias("value")).agg(holder.alias("h"))
+    held = texts.select("value", F.col("h.repository").alias("repository"), F.col("h.owner").alias("owner")).distinct()
     counts = held.groupBy("value").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
-    return counts.withColumn("live", F.col("owners") < most_owners)
+    return counts.withColumn("live", (F.col("owners") < most_owners) & (F.col("repositories") < most_repositories))
 
 
 def listed(spans: Column) -> Column:
