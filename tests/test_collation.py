@@ -108,3 +108,15 @@ def test_families(spark):
     big = spark.createDataFrame([("1",), ("3",)], "base_ga string")
     got = {r["base_ga"]: (r["family"], r["weight"]) for r in M.witness_weights(M.assign_families(w, {"f1": ("list", ["1", "2"])}, big)).collect()}
     assert got == {"1": ("f1", 0.5), "2": ("f1", 0.5), "3": ("Byz", 1.0), "4": ("other", 1.0)}
+
+
+def test_windows_count_every_row(spark):
+    from variorum.operators import stylometry as Y
+
+    rows = [("b", 1, "x y z"), ("b", 1, "x y z"), ("b", 1, "u v"), ("b", None, "first one"), ("b", 2, None), (None, 1, "p q"), ("c", 5, "")]
+    got = Y.token_windows(spark.createDataFrame(rows, "book string, doc_id int, text string").repartition(3), ("book",), 5)
+    words = {}
+    for r in got.collect():
+        words.setdefault(r["book"], {})[r["window"] * 5 + r["pos"]] = r["lemma"]
+    line = " ".join(words["b"][i] for i in range(10))
+    assert line.startswith("first one ") and line.count("x y z") == 2 and line.count("u v") == 1 and None not in words

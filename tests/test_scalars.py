@@ -54,3 +54,24 @@ def test_words_and_links(spark):
     assert one(spark, X.collapse(F.lit(" a \n b "))) == "a b"
     assert one(spark, X.link(F.lit("http://x/{ga}"), F.lit("01"), F.lit(True))) == "http://x/01"
     assert tuple(one(spark, X.word_place(F.lit(5)))) == ("gap", 2)
+
+
+@pytest.mark.parametrize("numeral, want", [("MCMXCIX", 1999), ("xlix", 49), ("XLI", 41), ("MMMM", 4000), ("IIX", None), ("IC", None), ("VV", None), ("", None), (" ix ", 9), ("A", None)])
+def test_any_canonical_numeral(spark, numeral, want):
+    assert one(spark, X.century(F.lit(numeral))) == want
+
+
+def test_every_numeral(spark):
+    signs = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+    rows = []
+    for n in range(1, 1200):
+        left, text = n, ""
+        for value, sign in signs:
+            text += sign * (left // value)
+            left %= value
+        rows.append((n, text))
+    assert spark.createDataFrame(rows, "n int, s string").filter(~X.century("s").eqNullSafe(F.col("n"))).count() == 0
+
+
+def test_long_numbers_are_read_whole(spark):
+    assert one(spark, X.ga_to_docid(F.lit("P" + "0" * 30 + "66"))) == 10066 and one(spark, X.ga_to_docid(F.lit("P1" + "0" * 30))) is None and one(spark, X.ga_to_docid(F.lit("P" + "1" * 20 + "x"))) is None

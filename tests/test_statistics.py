@@ -101,3 +101,24 @@ def test_neighbor_joining_recovers_an_additive_tree():
     tree = T.neighbor_joining(list("abcde"), d)
     assert T.splits(tree) == {frozenset("cde"), frozenset("de")}
     assert T.newick(T.ladderize(tree)).endswith(";")
+
+
+def test_whole_column_ranks_need_no_single_task(spark):
+    rng = np.random.default_rng(5)
+    x = [float(v) for v in rng.integers(0, 400, 3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "k int, x double").repartition(7)
+    order = np.sort(x)
+    want = {v: (np.searchsorted(order, v) + 1 + np.searchsorted(order, v, side="right")) / 2 for v in set(x)}
+    assert all(r["rank"] == want[r["x"]] for r in S.ranked(df, "x").collect())
+    p = np.array(x) / 400
+    got = {r["k"]: r["p_fdr"] for r in S.benjamini_hochberg(df.select("k", (df.x / 400).alias("p"))).collect()}
+    q = p[np.argsort(p, kind="stable")] * len(p) / np.arange(1, len(p) + 1)
+    q = np.minimum(1.0, np.minimum.accumulate(q[::-1])[::-1])
+    assert np.allclose([got[int(i)] for i in np.argsort(p, kind="stable")], q)
+    assert S.benjamini_hochberg(df.select("k", df.x.alias("p")).filter("false")).count() == 0
+
+
+def test_lower_percentiles(spark):
+    rows = [("a", v) for v in (5.0, 1.0, 1.0, 2.0, None)] + [("b", 7.0), ("c", None)]
+    got = {r["g"]: r["q"] for r in S.lower_percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", 0.7, "q").collect()}
+    assert got == {"a": 2.0, "b": 7.0}

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 # Pericopes with Synoptic parallels (chapter, first verse, last verse).
 SYNOPTIC_RANGES = [(1, 19, 34), (2, 13, 22), (6, 1, 21), (12, 1, 8), (12, 12, 19), (13, 21, 30), (18, 1, 40), (19, 1, 42)]
 
-_ROMAN_SIGNS = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+# Roman signs, what a smaller sign before a larger one takes away twice, and the canonical form.
+_ROMAN_SIGNS = [("M", 1000), ("D", 500), ("C", 100), ("L", 50), ("X", 10), ("V", 5), ("I", 1)]
+_ROMAN_LESS = [("C[MD]", 200), ("X[CL]", 20), ("I[XV]", 2)]
+_ROMAN_FORM = r"^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 def col(c: str | Column) -> Column:
@@ -59,25 +62,22 @@ def collapse(text: str | Column) -> Column:
 def ga_to_docid(siglum: str | Column) -> Column:
     """The catalogue number of a siglum: papyri, majuscules (leading 0), minuscules, lectionaries."""
     s = col(siglum)
-    plain = lambda n, start: F.try_add(F.lit(start), F.when(F.rlike(F.substring(s, n, 20), F.lit(r"^\d+$")), F.expr("1") * F.substring(s, n, 20).try_cast("int")))
+    number = lambda n: F.substring(s, F.lit(n), F.length(s))
+    plain = lambda n, start: F.try_add(F.lit(start), F.when(F.rlike(number(n), F.lit(r"^\d+$")), number(n).try_cast("int")))
     return (
         F.when(F.startswith(s, F.lit("P")), plain(2, 10000)).when(F.startswith(s, F.lit("L")), plain(2, 40000)).when(F.startswith(s, F.lit("0")), plain(1, 20000)).otherwise(plain(1, 30000))
     )
 
 
-def roman(n: int) -> str:
-    """The canonical Roman numeral."""
-    out = ""
-    for value, sign in _ROMAN_SIGNS:
-        out += sign * (n // value)
-        n %= value
-    return out
-
-
-def century(numeral: str | Column, most: int = 40) -> Column:
-    """The number of a canonical Roman numeral up to ``most`` (any case), else null."""
-    known = F.create_map(*[F.lit(x) for n in range(1, most + 1) for x in (roman(n), n)])
-    return F.try_element_at(known, F.upper(F.trim(col(numeral))))
+def century(numeral: str | Column) -> Column:
+    """The number of a canonical Roman numeral (any case), else null."""
+    s = F.upper(F.trim(col(numeral)))
+    total = F.lit(0).cast("long")
+    for sign, value in _ROMAN_SIGNS:
+        total = total + (F.length(s) - F.length(F.replace(s, F.lit(sign), F.lit("")))).cast("long") * value
+    for pattern, value in _ROMAN_LESS:
+        total = total - F.when(F.rlike(s, F.lit(pattern)), value).otherwise(0)
+    return F.when(F.rlike(s, F.lit(_ROMAN_FORM)), total.try_cast("int"))
 
 
 def parse_orig(orig: str | Column) -> Column:
@@ -87,9 +87,9 @@ def parse_orig(orig: str | Column) -> Column:
     is_year = year != ""
     found = F.filter(F.transform(F.split(s, "/"), lambda x: century(x)), lambda x: x.isNotNull())
     found = F.when(F.size(found) > 0, found)
-    early = F.when(is_year, year.try_cast("int")).otherwise((F.array_min(found) - 1) * 100)
-    late = F.when(is_year, year.try_cast("int")).otherwise(F.array_max(found) * 100 - 1)
-    return F.struct(early.cast("int").alias("date_early"), late.cast("int").alias("date_late"))
+    early = F.when(is_year, year.try_cast("int")).otherwise((F.array_min(found).cast("long") - 1) * 100)
+    late = F.when(is_year, year.try_cast("int")).otherwise(F.array_max(found).cast("long") * 100 - 1)
+    return F.struct(early.try_cast("int").alias("date_early"), late.try_cast("int").alias("date_late"))
 
 
 def midpoint(early: str | Column, late: str | Column) -> Column:

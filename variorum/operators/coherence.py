@@ -18,10 +18,9 @@ def reading_matrix(c: Collation, min_units: int | None = None) -> DataFrame:
 
 
 def codes(matrix: DataFrame) -> DataFrame:
-    """The matrix with ``code``: the rank of the reading among all reading ids."""
-    ranks = matrix.select("reading_id").distinct()
-    ranks = ranks.withColumn("code", (F.dense_rank().over(Window.orderBy("reading_id")) - 1).cast("int"))  # few distinct ids
-    return matrix.join(ranks, "reading_id").select("app_id", "base_ga", "reading_id", "code")
+    """The matrix with ``code``: the rank of the reading among the readings of its unit, from 0."""
+    rank = F.dense_rank().over(Window.partitionBy("app_id").orderBy("reading_id"))
+    return matrix.select("app_id", "base_ga", "reading_id", (rank - 1).cast("int").alias("code"))
 
 
 def informative_units(matrix: DataFrame, min_extant: int = 30, max_modal: float = 0.90) -> DataFrame:

@@ -26,24 +26,65 @@ def average_rank(column: str, *keys: str) -> Column:
     return rank + (same - 1) / 2
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "p_fdr", keys: tuple[str, ...] = ()) -> DataFrame:
-    """False discovery rates of the p-values of a group."""
-    n = F.count(p).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
-    scaled = df.filter(F.col(p).isNotNull()).withColumn("_r", rank).withColumn("_q", F.col(p) * n / F.col("_r"))
-    least = F.min("_q").over(Window.partitionBy(*keys).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(F.lit(1.0), least)).drop("_r", "_q")
+#: Into how many ranges a column is cut where it is ranked as a whole.
+RANGES = 64
+
+
+def cumulated(df: DataFrame, value: str | Column) -> DataFrame:
+    """(value, n, before, part): each distinct value with its rows, the rows of lesser values, and its range.
+
+    The column as a whole, without a task that sees all of it: values are counted, cut into ranges at
+    approximate quantiles (which only balance the tasks), and summed within ranges and over the ranges."""
+    counts = df.select((F.col(value) if isinstance(value, str) else value).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    marks = [k / RANGES for k in range(1, RANGES)]
+    cut = counts.agg(F.percentile_approx("value", marks, 10_000).alias("_cut"))  # one row
+    dealt = counts.crossJoin(F.broadcast(cut)).withColumn("part", F.size(F.filter("_cut", lambda c: c < F.col("value")))).drop("_cut")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("n"))  # at most RANGES rows
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("n").over(first), F.lit(0).cast("long")).alias("_base"))
+    own = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(sums, "part").select("value", "n", (F.col("_base") + F.coalesce(F.sum("n").over(own), F.lit(0).cast("long"))).alias("before"), "part")
 
 
-def lower_percentile(values: str | Column, q: float) -> Column:
-    """Aggregate: the value at floor(q (n - 1)) of the sorted ones."""
-    v = F.array_sort(F.collect_list(values))
-    return F.get(v, F.floor(F.lit(q) * (F.size(v) - 1)).cast("int"))
+def ranked(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
+    """``df`` (rows with a value) with the mean rank of each row in the whole column, ties as in ``average_rank``."""
+    value = F.round(F.col(column).cast("double"), 9)
+    ranks = cumulated(df, value).select(F.col("value").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
+    return df.withColumn("_v", value).join(ranks, "_v").drop("_v")
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "p_fdr", keys: tuple[str, ...] = ()) -> DataFrame:
+    """False discovery rates of the p-values (of each group); rows without one are dropped."""
+    known = df.filter(F.col(p).isNotNull())
+    if keys:
+        n = F.count(p).over(Window.partitionBy(*keys))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(p))
+        scaled = known.withColumn("_r", rank).withColumn("_q", F.col(p) * n / F.col("_r"))
+        least = F.min("_q").over(Window.partitionBy(*keys).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
+        return scaled.withColumn(out, F.least(F.lit(1.0), least)).drop("_r", "_q")
+    # of equal p-values the last rank gives the least q, so one q a value is enough
+    values = cumulated(known, p)
+    all_ = values.agg(F.sum("n").alias("_all"))  # one row
+    values = values.crossJoin(F.broadcast(all_)).withColumn("_q", F.col("value") * F.col("_all") / (F.col("before") + F.col("n")))
+    parts = values.groupBy("part").agg(F.min("_q").alias("_m"))  # at most RANGES rows
+    parts = parts.select("part", F.min("_m").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    own = F.min("_q").over(Window.partitionBy("part").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0))
+    values = values.join(parts, "part").select(F.col("value").alias("_value"), F.least(F.lit(1.0), own, F.col("_later")).alias(out))
+    return known.join(values, F.col(p) == F.col("_value")).drop("_value")
+
+
+def lower_percentiles(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """(keys, out): of each group the value at floor(q (n - 1)) of the sorted ones, counted from 0."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
+    return placed.filter(F.col("_upto") > F.floor(F.lit(q) * (F.col("_all") - 1))).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """One row: n1, n2, U of ``first``, and the one-sided p that it is less (normal, ties and continuity corrected)."""
-    rows = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()).withColumn("_rank", average_rank(value))
+    rows = ranked(df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()), value, "_rank")
     ties = rows.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     sums = rows.agg(
         F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"), F.sum(F.when(F.col(group) == first, F.col("_rank"))).alias("r1")

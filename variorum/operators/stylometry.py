@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 
+#: Most windows of a section test: 2,000 windows are 32 MB of distances.
+MOST_WINDOWS = 2_000
+
 
 def tokens(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book",), order: str = "doc_id") -> DataFrame:
     """(keys, order, pos, lemma): lower-cased words of texts in order."""
@@ -15,22 +18,29 @@ def tokens(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("book",
 
 
 def positions(docs: DataFrame, keys: tuple[str, ...], order: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with their words and ``base``: how many words of their key stand in earlier documents.
-
-    The running sum goes over one number a document, not over the words."""
-    listed = docs.select(*keys, order, words(F.lower(F.col(text))).alias("_w"))
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = listed.select(*keys, order, F.size("_w").cast("long").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
-    return listed.join(sizes.select(order, "base"), order)
+    """The documents with their words, ``base``: how many words of their key stand in earlier documents, and
+    ``total``: how many words their key has.  Null keys are a key, a null order comes first, rows that are equal
+    in all of these follow each other.
+
+    The running sum goes over one number a document, not over the words; rows are told apart by a digest."""
+    one = F.struct(*keys, order, text)
+    listed = docs.select(*keys, order, words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_w"), F.md5(F.to_json(one, {"ignoreNullFields": "false"})).alias("_row"))
+    sizes = listed.select(*keys, order, "_row", F.size("_w").cast("long").alias("n")).groupBy(*keys, order, "_row", "n").agg(F.count("*").alias("copies"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(F.asc_nulls_first(order), "_row").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("n") * F.col("copies")
+    sizes = sizes.withColumn("base", F.coalesce(F.sum(own).over(before), F.lit(0).cast("long"))).withColumn("total", F.sum(own).over(whole))
+    each = sizes.select("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_k"), "base", "n", "total")
+    each = each.select("_row", (F.col("base") + F.col("_k") * F.col("n")).alias("base"), "total")
+    return listed.dropDuplicates(["_row"]).join(each, "_row").drop("_row")
 
 
 def token_windows(docs: DataFrame, keys: tuple[str, ...], w: int = 200, order: str = "doc_id", text: str = "text") -> DataFrame:
     """(keys, window, pos, lemma): consecutive windows of w words of each key; a last one of 3/4 w or more stays."""
-    placed = positions(docs, keys, order, text).select(*keys, "base", F.posexplode("_w").alias("k", "lemma"))
+    placed = positions(docs, keys, order, text).select(*keys, "base", "total", F.posexplode("_w").alias("k", "lemma"))
     placed = placed.withColumn("at", F.col("base") + F.col("k")).withColumn("window", F.floor(F.col("at") / w).cast("long")).withColumn("pos", (F.col("at") % w).cast("int"))
-    total = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
-    size = F.least(F.lit(w), F.col("_n") - F.col("window") * w)
-    return placed.join(total, list(keys)).filter(size >= 0.75 * w).select(*keys, "window", "pos", "lemma")
+    size = F.least(F.lit(w), F.col("total") - F.col("window") * w)
+    return placed.filter(size >= 0.75 * w).select(*keys, "window", "pos", "lemma")
 
 
 def most_frequent(rows: DataFrame, k: int = 100, word: str = "lemma") -> DataFrame:
@@ -87,12 +97,15 @@ def section_gaps(pairs: DataFrame, roles: DataFrame, body: str = "body") -> Data
 def section_permutation(pairs: DataFrame, roles: DataFrame, sections: list[str], n_perm: int, seed: int, body: str = "body", chunk: int = 250) -> DataFrame:
     """(section, obs, p, n_windows): is a section farther from the body than body windows from each other?
 
-    The Delta table of one book's windows is small; replicates are dealt over tasks in chunks."""
+    The Delta table of one book's windows goes to the driver and is broadcast (at most ``MOST_WINDOWS`` windows,
+    checked); replicates are dealt over tasks in chunks."""
     spark = pairs.sparkSession
-    r = roles.filter(F.col("role").isin(body, *sections)).select("sample", "role").orderBy("sample").toPandas()
+    asked = roles.filter(F.col("role").isin(body, *sections)).select("sample", "role")
+    if (n := asked.count()) > MOST_WINDOWS:
+        raise ValueError(f"{n} windows are more than a test of one book takes ({MOST_WINDOWS})")
+    r = asked.orderBy("sample").toPandas()
     at = {s: i for i, s in enumerate(r["sample"])}
-    rows = pairs.join(F.broadcast(roles.filter(F.col("role").isin(body, *sections)).select(F.col("sample").alias("s1"))), "s1", "left_semi")
-    rows = rows.join(F.broadcast(roles.filter(F.col("role").isin(body, *sections)).select(F.col("sample").alias("s2"))), "s2", "left_semi").toPandas()
+    rows = pairs.join(asked.select(F.col("sample").alias("s1")), "s1", "left_semi").join(asked.select(F.col("sample").alias("s2")), "s2", "left_semi").toPandas()
     d = np.zeros((len(at), len(at)))
     i, j = rows["s1"].map(at).to_numpy(int), rows["s2"].map(at).to_numpy(int)
     d[i, j] = d[j, i] = rows["delta"].to_numpy(float)

@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import coherence as C
 from ..operators import trees
 from ..schema import Collation
 from . import metrics as M
@@ -101,13 +102,18 @@ def nexus_distances(pairs: DataFrame, path: str | Path) -> Path:
 def character_rows(matrix: DataFrame, states: str = SYMBOLS) -> DataFrame:
     """(base_ga, sequence): a symbol for each unit in order, by the rank of the reading in its unit; '?' where
     a witness isn't extant.  Units with more readings than symbols are left out."""
-    ranked = matrix.withColumn("k", F.dense_rank().over(Window.partitionBy("app_id").orderBy("reading_id")))
-    most = ranked.groupBy("app_id").agg(F.max("k").alias("m")).filter(F.col("m") <= len(states)).select("app_id")
-    who = matrix.select("base_ga").distinct()
-    spine = most.crossJoin(F.broadcast(who))  # hundreds of witnesses
-    cells = spine.join(ranked.select("app_id", "base_ga", "k"), ["app_id", "base_ga"], "left")
-    symbol = F.coalesce(F.substring(F.lit(states), F.col("k"), F.lit(1)), F.lit("?"))
-    return cells.groupBy("base_ga").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("app_id", symbol.alias("s")))), lambda x: x["s"]), "").alias("sequence"))
+    coded = C.codes(matrix)
+    units = coded.groupBy("app_id").agg(F.max("code").alias("m")).filter(F.col("m") < len(states))
+    # columns of the matrix: contested units, numbered in order
+    units = units.select("app_id", F.row_number().over(Window.orderBy("app_id")).alias("at"), F.count("*").over(Window.partitionBy()).alias("width"))
+    cells = coded.join(units, "app_id", "left").select("base_ga", "at", "width", F.substring(F.lit(states), F.col("code") + 1, F.lit(1)).alias("s"))
+    rows = cells.groupBy("base_ga").agg(F.max("width").alias("_own"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "s")))).alias("c"))
+    rows = rows.withColumn("width", F.coalesce(F.max("_own").over(Window.partitionBy()), F.lit(0).cast("long")))  # a row a witness
+    # only the cells that are there are joined; what lies between them is filled in place
+    gap = lambda n: F.repeat(F.lit("?"), n.cast("int"))
+    filled = F.transform("c", lambda x, i: F.concat(gap(x["at"] - 1 - F.when(i > 0, F.get("c", i - 1)["at"]).otherwise(0)), x["s"]))
+    last = F.when(F.size("c") > 0, F.get("c", F.size("c") - 1)["at"]).otherwise(0)
+    return rows.select("base_ga", F.concat(F.array_join(filled, ""), gap(F.col("width") - last)).alias("sequence"))
 
 
 def nexus_characters(matrix: DataFrame, path: str | Path) -> Path:
@@ -127,19 +133,19 @@ def heatmap_data(c: Collation, verses: DataFrame | None = None) -> dict:
     rows = (M.verse_stability(c) if verses is None else verses).dropna(subset=["family_stability"]).cache()
     s = F.col("family_stability")
     floor = rows.agg(F.percentile(s, 0.02)).first()[0]
-    marks = rows.agg(F.max(s).alias("smax"), F.avg(s).alias("smean"), F.count("*").alias("nverses"), F.max("verse").alias("maxv"), F.count_if(s < floor).alias("nbelow"), F.min(F.struct(s, "chapter", "verse")).alias("least")).first()
+    marks = rows.agg(F.max(s).alias("high"), F.avg(s).alias("mean_value"), F.count("*").alias("cells_shown"), F.max("verse").alias("last_verse"), F.count_if(s < floor).alias("below_low"), F.min(F.struct(s, "chapter", "verse")).alias("least")).first()
     n = c.attestation.filter(F.col("base_ga") != c.settings.base_witness).agg(F.countDistinct("base_ga")).first()[0]
     cells = {f"{r['chapter']}:{r['verse']}": [round(r["family_stability"], 4), round(r["anchor_frac"] * 100), r["n_units"]] for r in rows.orderBy("chapter", "verse").toLocalIterator()}
     rows.unpersist()
-    return {"cells": cells, "smin": floor, "nwit": n} | marks.asDict(recursive=True)
+    return {"cells": cells, "low": floor, "witnesses": n} | marks.asDict(recursive=True)
 
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Stability</title>
 <style>body{{font:14px sans-serif}}td{{width:10px;height:10px}}</style>
-<p>{nverses} verses, {nwit} witnesses, mean {smean:.3f}; scale from {smin:.3f} to {smax:.3f} ({nbelow} below)</p><table id="t"></table>
-<script>const d={data},lo={smin},hi={smax},t=document.getElementById("t"),rows={{}};
+<p>{cells_shown} verses, {witnesses} witnesses, mean {mean_value:.3f}; scale from {low:.3f} to {high:.3f} ({below_low} below)</p><table id="t"></table>
+<script>const d={data},lo={low},hi={high},t=document.getElementById("t"),rows={{}};
 for(const k in d){{const [c,v]=k.split(":");(rows[c]??=[])[v-1]=d[k]}}
-for(const c in rows){{const r=t.insertRow();r.insertCell().textContent=c;for(let v=0;v<{maxv};v++){{const x=rows[c][v],e=r.insertCell();
+for(const c in rows){{const r=t.insertRow();r.insertCell().textContent=c;for(let v=0;v<{last_verse};v++){{const x=rows[c][v],e=r.insertCell();
 if(x){{const s=Math.max(0,Math.min(1,(x[0]-lo)/(hi-lo||1)));e.style.background=`hsl(${{120*s}} 60% 55%)`;e.title=`${{c}}:${{v+1}} ${{x[0]}}, ${{x[1]}}% anchors, ${{x[2]}} units`}}}}}}</script>
 """
 
@@ -147,7 +153,7 @@ if(x){{const s=Math.max(0,Math.min(1,(x[0]-lo)/(hi-lo||1)));e.style.background=`
 def heatmap(c: Collation, path: str | Path, verses: DataFrame | None = None) -> Path:
     """The cells as one HTML page without external parts."""
     d = heatmap_data(c, verses)
-    return _put(Path(path), _PAGE.format(data=json.dumps(d["cells"], separators=(",", ":")), **{k: d[k] for k in ("smin", "smax", "smean", "nverses", "nwit", "nbelow", "maxv")}))
+    return _put(Path(path), _PAGE.format(data=json.dumps(d["cells"], separators=(",", ":")), **{k: d[k] for k in ("low", "high", "mean_value", "cells_shown", "witnesses", "below_low", "last_verse")}))
 
 
 def _table(rows: list[dict]) -> list[str]:

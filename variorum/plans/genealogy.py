@@ -21,6 +21,8 @@ F1_CORE = ["1", "1582", "118", "209"]
 F13_CORE = ["13", "69", "124", "346", "543", "788", "826", "828", "983"]
 KNOWN = {"f1": ("iohannes_list", F1), "f13": ("iohannes_list", F13), "Alexandrian": ("manual", ALEXANDRIAN)}
 CORES = {"f1": F1_CORE, "f13": F13_CORE}
+#: Most cells of the matrix that is broadcast for resampling (100 MB).
+CELLS = 50_000_000
 SUPPORT = {"f1_core": F1_CORE, "f13": F13, "f1_full": F1}
 
 
@@ -72,19 +74,20 @@ def ground_truth(witnesses: DataFrame, bundle: DataFrame | None = None, known: d
 def bootstrap_support(g: Genealogy, members: dict[str, list[str]], b: int, seed: int, min_overlap: int = 100, compact: float = 0.12, spread: int = 64) -> DataFrame:
     """(family, support): in how many resamplings of the informative units the family forms a clade.
 
-    The matrix of contested units by witnesses is small (a broadcast of two bytes a cell, checked); the
-    replicates are dealt over tasks."""
+    The matrix of contested units by witnesses is broadcast at two bytes a cell, at most ``CELLS`` of them
+    (checked); the replicates are dealt over tasks."""
     spark = g.matrix.sparkSession
-    rows = C.codes(g.matrix).select("app_id", "base_ga", "code")
-    n_units = rows.select("app_id").distinct().count()
-    if n_units * len(g.tree.names) > 500_000_000:
+    names = g.tree.names
+    n_units, most = C.codes(g.matrix).agg(F.countDistinct("app_id"), F.max("code")).first()
+    if n_units * len(names) > CELLS or (most or 0) > np.iinfo(np.int16).max:
         raise ValueError("the contested units don't fit a broadcast; raise min_extant or lower max_modal")
-    frame = rows.toPandas()
-    units = {u: i for i, u in enumerate(sorted(frame["app_id"].unique()))}
-    at = {w: i for i, w in enumerate(g.tree.names)}
-    dense = np.full((len(units), len(at)), -1, np.int16)
-    dense[frame["app_id"].map(units).to_numpy(int), frame["base_ga"].map(at).to_numpy(int)] = frame["code"].to_numpy(np.int16)
-    shared, names = spark.sparkContext.broadcast(dense), g.tree.names
+    dense = np.full((n_units, len(names)), -1, np.int16)
+    # one row a unit, without strings: places of its witnesses and their codes
+    where = spark.createDataFrame(list(enumerate(names)), "i int, base_ga string")
+    rows = C.codes(g.matrix).join(where, "base_ga").groupBy("app_id").agg(F.collect_list("i").alias("i"), F.collect_list("code").alias("c"))
+    for k, r in enumerate(rows.orderBy("app_id").select("i", "c").toLocalIterator()):
+        dense[k, r["i"]] = r["c"]
+    shared = spark.sparkContext.broadcast(dense)
 
     def run(batches):
         import pandas as pd

@@ -159,10 +159,11 @@ def leave_one_out(c: Collation, families: tuple[str, ...] = FAMILIES) -> DataFra
 
 
 def spearman_leave_one_out(c: Collation, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """(dropped, rho): rank correlation of the chapter map with each family dropped."""
+    """(dropped, rho): rank correlation of the chapter map with each family dropped; null where all chapters tie."""
     rows = leave_one_out(c, families).dropna(subset=["full", "loo"])
     ranked = rows.withColumn("a", average_rank("full", "dropped")).withColumn("b", average_rank("loo", "dropped"))
-    return ranked.groupBy("dropped").agg(F.corr("a", "b").alias("rho"))
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    return ranked.groupBy("dropped").agg((F.covar_pop("a", "b") / F.nullif(spread, F.lit(0.0))).alias("rho"))
 
 
 def chapter_thirds(chapters: DataFrame, column: str, low: int, high: int) -> DataFrame:
