@@ -42,7 +42,7 @@ def token_blocks(
     """
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, name = tokenizer(path).encode, f"part-{TaskContext.get().partitionId():06d}"
+        ids_of, name = tokenizer(path, special_as_text=True).encode, f"part-{TaskContext.get().partitionId():06d}"
         size, block = 2 * block_tokens, 0
         pending, docs_in = bytearray(), []
         mark = np.array([separator], "<u2").tobytes()

@@ -3,8 +3,10 @@
 The vocabulary ends every merge at a pre-token, so the ids of a text are the ids of its
 pre-tokens, one after the other.  Pre-tokens repeat heavily: a bounded table from pre-token to
 ids answers most of them, for a whole batch of texts at once, and only unseen ones reach the
-tokenizer.  Texts outside the range for which the split is reproduced here go to the tokenizer
-whole, so the result is the tokenizer's for every text.
+tokenizer.  The table holds the bytes of a pre-token and compares them, so a shared hash gives no
+wrong ids.  Texts outside the range for which the split is reproduced here, and texts that hold an
+added token of the vocabulary, go to the tokenizer whole, so the result is the tokenizer's for every
+text.  Null counts as empty; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -39,16 +41,12 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_MIX = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _CHARS = 4_000_000
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Pre-tokens of up to this many bytes are table keys, as whole 8-byte words; longer ones are kept by their bytes.
+_KEY_WORDS = 4
+_LONGEST = 8 * _KEY_WORDS
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -59,14 +57,20 @@ def vocabulary_path(name: str = WORD_BPE) -> str:
 
 
 class CachedTokenizer:
-    """Token ids of texts.  ``slots`` (a power of two) bounds the table's memory, not the results."""
+    """Token ids of texts.  ``slots`` (a power of two) bounds the table's memory, not the results.
+
+    The vocabulary's added tokens (such as the end of a text) are recognised inside texts, as the tokenizer
+    itself does; with ``special_as_text`` they are spelled out like any other text.
+    """
 
-    def __init__(self, path: str, slots: int = 1 << 21):
+    def __init__(self, path: str, slots: int = 1 << 21, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.whole.model
         self.mask = np.uint64(slots - 1)
         self.most = slots // 2
@@ -74,21 +78,25 @@ class CachedTokenizer:
 
     def forget(self) -> None:
         slots = int(self.mask) + 1
-        self.keys = np.zeros(slots, np.uint64)
-        self.at = np.zeros(slots, np.int32)
-        self.size = np.zeros(slots, np.int32)
+        self.hashes = np.zeros(slots, np.uint64)
+        self.entry = np.zeros(slots, np.int32)
+        room = min(1 << 12, self.most)
+        self.words = np.zeros((room, _KEY_WORDS), np.uint64)
+        self.at = np.zeros(room, np.int64)
+        self.size = np.zeros(room, np.int64)
         self.pool = np.zeros(1 << 16, np.uint16)
         self.pooled = self.known = 0
+        self.long: dict[bytes, np.ndarray] = {}
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1 - the free slot where it may go."""
         slot = (hashes & self.mask).astype(np.int64)
-        found = self.keys[slot]
+        found = self.hashes[slot]
         out = np.where(found == hashes, slot, -1 - slot)
         open_ = np.flatnonzero((found != hashes) & (found != 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(self.mask)
-            s, found = slot[open_], self.keys[slot[open_]]
+            s, found = slot[open_], self.hashes[slot[open_]]
             same = found == hashes[open_]
             out[open_] = np.where(same, s, -1 - s)
             open_ = open_[~same & (found != 0)]
@@ -97,30 +105,46 @@ class CachedTokenizer:
     def _ids_of(self, word: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize("".join([_BYTE_CHAR[b] for b in word.decode("latin-1").encode()]))]
 
+    def _long_ids(self, word: bytes) -> np.ndarray:
+        if word not in self.long:
+            if len(self.long) >= 1024:
+                self.long.clear()
+            ids = np.array(self._ids_of(word), np.uint16)
+            if len(word) > 4096:
+                return ids
+            self.long[word] = ids
+        return self.long[word]
+
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number in each text."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = "\n".join(texts).encode("latin-1") + b"\n"
-        data = np.frombuffer(raw, np.uint8)
-        kind = _CLASS[data]
-        edge = np.empty(len(data), bool)
+        padded = np.frombuffer(raw + bytes(_LONGEST), np.uint8)
+        kind = _CLASS[padded[: len(raw)]]
+        edge = np.empty(len(raw), bool)
         edge[0] = True
         np.not_equal(kind[1:], kind[:-1], out=edge[1:])
         edge |= kind == _DIGIT
         at = np.flatnonzero(edge)
-        stop = np.append(at[1:], len(data))
+        stop = np.append(at[1:], len(raw))
         word = kind[at] != _SPACE
         at, stop = at[word], stop[word]
         if not len(at):
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
-        n = len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_MIX[data] * _POWERS(n), out=sums[1:])
-        hashes = (sums[stop] - sums[at]) * _INVERSES(n)[at]
-        hashes ^= hashes >> np.uint64(29)
+        # the bytes of each pre-token as 8-byte words: equal keys are equal pre-tokens (none has a byte 0)
+        eights = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + _LONGEST - 8,), (1,), writeable=False)
+        width = stop - at
+        keys = np.empty((len(at), _KEY_WORDS), np.uint64)
+        hashes = np.zeros(len(at), np.uint64)
+        for k in range(_KEY_WORDS):
+            keys[:, k] = eights[at + 8 * k] & _MASKS[np.clip(width - 8 * k, 0, 8)]
+            hashes = (hashes ^ keys[:, k]) * _ODD[k]
+            hashes ^= hashes >> np.uint64(29)
         hashes |= np.uint64(1) << np.uint64(63)
-        slot = self._find(hashes)
-        new = np.flatnonzero(slot < 0)
+        short = width <= _LONGEST
+        slot = np.where(short, 0, -1)
+        slot[short] = self._find(hashes[short])
+        new = np.flatnonzero(short & (slot < 0))
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
             if self.known + len(fresh) > self.most:
@@ -128,12 +152,21 @@ class CachedTokenizer:
                     return self._halves(texts)
                 self.forget()
                 return self._plain(texts)
-            for h, i in zip(fresh, new[first].tolist()):
-                self._learn(h, raw[at[i] : stop[i]])
+            for i in new[first].tolist():
+                self._learn(hashes[i], keys[i], raw[at[i] : stop[i]])
             slot[new] = self._find(hashes[new])
-        size = self.size[slot].astype(np.int64)
+        entry = self.entry[slot]
+        start, size = self.at[entry], self.size[entry]
+        pool = self.pool
+        # long pre-tokens, and those that share a hash with another one, go to the tokenizer one by one
+        alone = np.flatnonzero(~short | (self.words[entry] != keys).any(1))
+        if len(alone):
+            own = [self._long_ids(raw[at[i] : stop[i]]) for i in alone.tolist()]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            start[alone], size[alone] = self.pooled + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool[: self.pooled], *own])
         ends = np.cumsum(size)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.at[slot] - (ends - size), size)]
+        ids = pool[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
         bounds = np.searchsorted(at, np.cumsum(lengths + 1))
         until = np.concatenate([[0], ends])[bounds]
         return ids, np.diff(until, prepend=0)
@@ -146,15 +179,18 @@ class CachedTokenizer:
         a, b = self._plain(texts[:half]), self._plain(texts[half:])
         return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
 
-    def _learn(self, h: np.uint64, word: bytes) -> None:
+    def _learn(self, h: np.uint64, key: np.ndarray, word: bytes) -> None:
         ids = self._ids_of(word)
         if self.pooled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint16)])
+        if self.known == len(self.at):
+            self.words, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.words, self.at, self.size))
         mask = int(self.mask)
         slot = int(h) & mask
-        while self.keys[slot]:
+        while self.hashes[slot]:
             slot = (slot + 1) & mask
-        self.keys[slot], self.at[slot], self.size[slot] = h, self.pooled, len(ids)
+        self.hashes[slot], self.entry[slot] = h, self.known
+        self.words[self.known], self.at[self.known], self.size[self.known] = key, self.pooled, len(ids)
         self.pool[self.pooled : self.pooled + len(ids)] = ids
         self.pooled += len(ids)
         self.known += 1
@@ -176,7 +212,7 @@ class CachedTokenizer:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if len(text) >= _CHARS or _ELSE.search(text):
+            if len(text) >= _CHARS or _ELSE.search(text) or (self.added and self.added.search(text.lower())):
                 out[i] = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
                 continue
             if chars + len(text) + 1 > _CHARS:
@@ -201,28 +237,12 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHAR = _byte_chars()
-_KEPT: dict[int, np.ndarray] = {}
-
-
-def _upto(base: np.uint64, n: int) -> np.ndarray:
-    if len(_KEPT.get(int(base), ())) < n:
-        _KEPT[int(base)] = _powers(base, max(n, 1 << 20))
-    return _KEPT[int(base)][:n]
-
-
-def _POWERS(n: int) -> np.ndarray:
-    return _upto(_P, n)
-
-
-def _INVERSES(n: int) -> np.ndarray:
-    return _upto(_P_INVERSE, n)
-
-
-_INSTANCES: dict[str, CachedTokenizer] = {}
+_INSTANCES: dict[tuple[str, bool], CachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> CachedTokenizer:
+def tokenizer(path: str, special_as_text: bool = False) -> CachedTokenizer:
     """The tokenizer of this process for a vocabulary file; Python workers are reused, so is its table."""
-    if path not in _INSTANCES:
-        _INSTANCES[path] = CachedTokenizer(path)
-    return _INSTANCES[path]
+    key = path, special_as_text
+    if key not in _INSTANCES:
+        _INSTANCES[key] = CachedTokenizer(path, special_as_text=special_as_text)
+    return _INSTANCES[key]
