@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (a local test session) a folder of this machine is used.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, which must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.gettempdir() + "/variorum-shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -43,6 +38,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is broadcast after it was counted (of some hundred bytes each at most).
+FEW = 50_000
+_SHARES = 512
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str | Column], few: int = FEW) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a written table of one row for each (non-null) key.
+
+    Up to ``few`` facts are counted and broadcast.  Beyond, no task gets all rows of a key however common it
+    is: a key's rows are dealt into shares by the hash of ``by``, the facts meet the distinct (key, share),
+    of which a key has no more than there are shares, and the rows join these by key and share.
+    """
+    if facts.count() <= few:
+        return rows.join(F.broadcast(facts), keys)
+    return spread(rows, facts, keys, by)
+
+
+def spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str | Column]) -> DataFrame:
+    """The second way of ``with_facts``, for facts of any size."""
+    dealt = rows.withColumn("_v_share", F.pmod(F.xxhash64(*by), F.lit(_SHARES)).cast("int"))
+    met = dealt.select(*keys, "_v_share").distinct().join(facts, keys)
+    return dealt.join(met, [*keys, "_v_share"]).drop("_v_share")
+
+
 def batches(
     source: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000, rows: int = 4096
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
