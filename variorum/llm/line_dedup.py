@@ -7,12 +7,15 @@ passage that is moved, or stands between other lines, is cut at the same places.
 Chunks of several lines that occur more than once in the corpus are removed, but for the first
 occurrence (smallest id, then position).  First, counts by a 128-bit hash leave the repeated
 hashes; then the chunks of those are grouped by their bytes, so a shared hash alone removes nothing.
-Both counts are combined before they are shuffled, and a passage that stands in a third of all
-documents is one row of each task.
+Both counts are combined before they are shuffled, so a passage that stands in a third of all
+documents is one row of each task; its occurrences meet what is known of it by hash and share of the
+documents (``spread``), never in one task.
 
 Only chunks with ``least_lines`` non-blank lines or more count.  Nulls: a null text stays null; rows
 with a null id pass unchanged and don't count as occurrences.  Rows with the same id are one
-document: a chunk they share isn't removed for that alone.  Texts are never shortened otherwise.
+document: a chunk they share isn't removed for that alone.  Texts are never shortened otherwise.  An
+empty table gives an empty result; very long texts are cut into chunks whole.  Columns that have the
+name of a result are replaced by it, other columns pass.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import batches, out_batch, table, written
+from ._frames import batches, out_batch, spread, table, written
 
 CHUNKS = "_v_id long, _v_no int, _v_from int, _v_to int, _v_hash binary, _v_chunk string"
 _CHUNKS = pa.schema([("_v_id", pa.int64()), ("_v_no", pa.int32()), ("_v_from", pa.int32()), ("_v_to", pa.int32()), ("_v_hash", pa.binary()), ("_v_chunk", pa.string())])
@@ -74,11 +77,11 @@ def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_
 def repeated(found: DataFrame) -> DataFrame:
     """Occurrences (id, lines from and to) that are to go, of chunks equal to an earlier one."""
     common = found.groupBy("_v_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_v_hash")
-    again = written(found.join(common, "_v_hash", "left_semi"), "chunks")
+    again = written(spread(found, common, ["_v_hash"], ["_v_id"]), "chunks")
     place = F.struct("_v_id", "_v_no")
     first = again.groupBy("_v_hash", "_v_chunk").agg(F.min(place).alias("_v_first"), F.max(place).alias("_v_last"))
-    first = first.filter("_v_first != _v_last")
-    return again.join(first, ["_v_hash", "_v_chunk"]).filter(place != F.col("_v_first")).select("_v_id", "_v_from", "_v_to")
+    first = first.filter("_v_first != _v_last").drop("_v_last")
+    return spread(again, first, ["_v_hash", "_v_chunk"], ["_v_id"]).filter(place != F.col("_v_first")).select("_v_id", "_v_from", "_v_to")
 
 
 def dedup_lines(
@@ -150,10 +153,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop(*counts)
     found = written(pairs(docs, id_col=id_col, text_col=text_col), "pairs")
     common = found.groupBy("_v_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_v_hash")
-    again = written(found.join(common, "_v_hash", "left_semi"), "pairs-again")
+    again = written(spread(found, common, ["_v_hash"], ["_v_id"]), "pairs-again")
     place = F.struct("_v_id", "_v_at")
     first = again.groupBy("_v_hash", "_v_pair").agg(F.min(place).alias("_v_first"))
-    late = again.join(first, ["_v_hash", "_v_pair"]).filter(place != F.col("_v_first"))
+    late = spread(again, first, ["_v_hash", "_v_pair"], ["_v_id"]).filter(place != F.col("_v_first"))
     gone = late.groupBy("_v_id").agg(F.sort_array(F.collect_set("_v_at")).alias("_v_gone"))
     joined = docs.withColumn("_v_key", F.col(id_col).cast("long")).join(gone, F.col("_v_key") == F.col("_v_id"), "left").drop("_v_key", "_v_id")
     kept = docs.schema
