@@ -7,10 +7,12 @@ nearest language wins, the first in alphabetical order on a tie.
 
 Letters are lower-cased, everything else becomes one blank, and words are padded with blanks.
 Languages are learned from at most ``sample`` labelled texts of each (those of the smallest hash of
-their id), a bound on what is learned from, not on what is predicted.
+id and text; rows equal in both are one), a bound on what is learned from, not on what is predicted.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null label teach
-nothing.  Without any labelled text, all texts are ``und``.
+nothing, rows with a null id teach.  Without any labelled text (as in an empty table), all texts are
+``und``.  Repeated rows are predicted alike; very long texts are counted whole.  Columns that have the
+name of a result are replaced by it, unless ``names`` gives the results other names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._frames import batches, out_batch, table
+from ._frames import FEW, batches, table, written
 
 UNDETERMINED = "und"
+#: Most languages: their profiles are collected and broadcast, 300 numbers each.
+MOST_LABELS = 2_000
 _TABLE: list[np.ndarray] = []
 
 
@@ -85,11 +89,17 @@ def crc32_id(col: str) -> Column:
 def learn(
     docs: DataFrame, size: int = 300, longest: int = 3, sample: int = 500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang"
 ) -> dict[str, np.ndarray]:
-    """Profiles by language, from at most ``sample`` texts of each."""
-    ids = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= sample).select("_id").distinct()
-    most = 4 * size
+    """Profiles by language, from at most ``sample`` texts of each; at most ``MOST_LABELS`` languages (checked)."""
+    label, text = F.col(label_col).cast("string"), F.col(text_col).cast("string")
+    told = docs.select(F.xxhash64(F.col(id_col), label, text).alias("_key"), label.alias("label"), text.alias("text")).filter("label is not null and text is not null")
+    # the least hashes of each language in two steps, so that no task sees more than ``sample`` for each share
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_key"))
+    few = told.select("label", "_key", F.pmod("_key", F.lit(64)).alias("_share")).dropDuplicates(["label", "_key"])
+    few = few.withColumn("_nth", nth("label", "_share")).filter(F.col("_nth") <= sample)
+    chosen = written(few.withColumn("_nth", nth("label")).filter(F.col("_nth") <= sample).select("label", "_key"), "chosen")
+    n, labels = chosen.agg(F.count("*"), F.countDistinct("label")).first()
+    if labels > MOST_LABELS:
+        raise ValueError(f"{labels} labels are more than a table of profiles takes ({MOST_LABELS})")
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source, "text"):
@@ -98,11 +108,10 @@ def learn(
                 if len(values):
                     yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(values)), "gram": pa.array(values), "n": pa.array(counts.astype(np.int64))})
 
-    texts = docs.filter(F.col(label_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi")
-    texts = texts.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
+    texts = told.join(F.broadcast(chosen) if n <= FEW else chosen, ["label", "_key"], "left_semi").dropDuplicates(["label", "_key"]).select("label", "text")
     totals = texts.mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))
-    rows = totals.withColumn("r", rank).filter(F.col("r") <= min(size, most)).collect()  # languages x size rows
+    rows = totals.withColumn("r", rank).filter(F.col("r") <= size).collect()  # languages x size rows
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["label"], r["r"])):
         found.setdefault(r["label"], []).append(r["gram"])
@@ -133,22 +142,25 @@ class Profiles:
 
 
 def identify(
-    docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, longest: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, longest: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
 ) -> DataFrame:
-    """The ``keep`` columns with lang_pred and score, for the whole text of each row."""
-    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    """The ``keep`` columns with lang_pred and score (or what ``names`` calls them), for the whole text of each row."""
+    keep = tuple(c for c in keep if c not in names)
     kept = docs.select(*keep).schema
+    # a kept text of strings is sent to Python once
+    twice = text_col not in keep or dict(docs.dtypes)[text_col] != "string"
+    sent = "_v_text" if twice else text_col
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles, size, longest))
 
     def predict(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = shared.value.nearest
-        for batch, texts in batches(source, "_v_text"):
-            names, scores = zip(*map(nearest, texts))
-            own = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        for batch, texts in batches(source, sent):
+            found, scores = zip(*map(nearest, texts))
+            own = batch.num_columns - twice
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:own], *names])
 
-    out = kept.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_v_text")).mapInArrow(predict, out)
+    out = kept.add(names[0], "string").add(names[1], "double")
+    return docs.select(*keep, *([F.col(text_col).cast("string").alias("_v_text")] if twice else [])).mapInArrow(predict, out)
 
 
 def teaches(id_col: str = "doc_id") -> Column:
