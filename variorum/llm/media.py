@@ -8,6 +8,10 @@ type; valid ones further in are embedded media, carved by offset and length.
 Nulls and empty values are of no type (null), with nothing embedded.  A value whose start isn't valid
 keeps no type either, whatever was declared, but is still searched for embedded media.  Embedded media
 inside other embedded media aren't listed; carve and sniff those again.
+
+The marks that end a format are located in the same pass, so no validator searches the rest of a value
+for each magic: long values full of magics cost their length.  Repeated rows are sniffed alike, an empty
+table gives an empty result, and input columns that have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +35,30 @@ WIDTH = 64
 # ---- validators: bytes and the offset of the magic -> length, or None ----------------------------
 
 
+class Value:
+    """The bytes of one value with the places of end marks, found in the same pass as the magics, and the places
+    from which a walk is known to lead nowhere; so each validator's searches cost their results only."""
+
+    def __init__(self, data: bytes, marks: dict[bytes, list[int]]):
+        self.data, self.marks = data, marks
+        self.dead: set[int] = set()
+        self.zeros = 1, 0
+
+    def zero(self, at: int) -> int:
+        """The first zero byte from ``at`` on, or -1; stretches without one are searched once."""
+        low, next_ = self.zeros
+        if not (low <= at and (next_ < 0 or at <= next_)):
+            self.zeros = at, self.data.find(0, at)
+        return self.zeros[1]
+
+    def find(self, mark: bytes, at: int, stop: int | None = None) -> int:
+        """The first place of an end mark from ``at`` on (and before ``stop``), or -1."""
+        places = self.marks.get(mark, [])
+        k = bisect_left(places, at)
+        found = k < len(places) and (stop is None or places[k] + len(mark) <= stop)
+        return places[k] if found else -1
+
+
 def _wav(b: bytes, at: int) -> int | None:
     if b[at + 8 : at + 12] != b"WAVE":
         return None
@@ -76,17 +105,21 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    b = v.data
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
     i = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
 
     def blocks(i: int) -> int | None:
-        while i < len(b):
+        walked = []
+        while i < len(b) and i not in v.dead:
             if not b[i]:
                 return i + 1
+            walked.append(i)
             i += 1 + b[i]
+        v.dead.update(walked)
         return None
 
     while i is not None and i < len(b):
@@ -101,11 +134,11 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    i = at + 2
+def _jpeg(v: Value, at: int) -> int | None:
+    b, i = v.data, at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         if b[i + 1] == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = v.find(b"\xff\xd9", i)
             return end + 2 - at if end >= 0 else None
         if not 0xC0 <= b[i + 1] <= 0xFE:
             return None
@@ -113,34 +146,54 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 and b[at + 5 : at + 6].isdigit() else None
+def _pdf(v: Value, at: int) -> int | None:
+    end = v.find(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and v.find(b"startxref", at, end) >= 0 and v.data[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(v: Value, at: int) -> int | None:
+    b, end = v.data, v.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, offset, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if at + offset + size == end and b[at + offset : at + offset + 4] == b"PK\x01\x02" else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+def _gzip(v: Value, at: int) -> int | None:
+    b = v.data
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
+        return None
+    flags, i = b[at + 3], at + 10
+    if flags & 4:
+        i += 2 + int.from_bytes(b[i : i + 2], "little")
+    for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):  # name and comment end with a zero byte
+        i = v.zero(i) + 1
+        if not i:
+            return None
+    i += flags & 2
+    d, crc, size = zlib.decompressobj(-15), 0, 0
     try:
-        d.decompress(memoryview(b)[at:])
+        while not d.eof:
+            part = d.unconsumed_tail
+            if not part:
+                part = b[i : i + 65536]
+                i += len(part)
+            out = d.decompress(part, 1 << 20)  # what comes out is dropped, so a small value can't fill the memory
+            if not part and not out:
+                return None
+            crc, size = zlib.crc32(out, crc), size + len(out)
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    i -= len(d.unused_data)
+    return i + 8 - at if i + 8 <= len(b) and struct.unpack_from("<II", b, i) == (crc, size & 0xFFFFFFFF) else None
 
 
 #: The magic bytes of formats, with the validators above.
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
-    (b"RIFF", "wav", _wav),
-    (b".snd", "au", _au),
-    (b"BM", "bmp", _bmp),
-    (b"\x89PNG\r\n\x1a\n", "png", _png),
+SIGNATURES: list[tuple[bytes, str, Callable[[Value, int], int | None]]] = [
+    (b"RIFF", "wav", lambda v, at: _wav(v.data, at)),
+    (b".snd", "au", lambda v, at: _au(v.data, at)),
+    (b"BM", "bmp", lambda v, at: _bmp(v.data, at)),
+    (b"\x89PNG\r\n\x1a\n", "png", lambda v, at: _png(v.data, at)),
     (b"GIF87a", "gif", _gif),
     (b"GIF89a", "gif", _gif),
     (b"\xff\xd8\xff", "jpeg", _jpeg),
@@ -148,17 +201,21 @@ SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
     (b"PK\x03\x04", "zip", _zip),
     (b"\x1f\x8b\x08", "gzip", _gzip),
 ]
+#: The marks that end a format, located in the same pass.
+END_MARKS = [b"\xff\xd9", b"%%EOF", b"startxref", b"PK\x05\x06"]
 _AUTOMATON: list = []
 
 
 def automaton():
-    """The automaton of all magics (bytes as characters of the same number)."""
+    """The automaton of all magics and end marks (bytes as characters of the same number)."""
     if not _AUTOMATON:
         import ahocorasick
 
         a = ahocorasick.Automaton()
         for i, (magic, _, _) in enumerate(SIGNATURES):
             a.add_word(magic.decode("latin-1"), i)
+        for mark in END_MARKS:
+            a.add_word(mark.decode("latin-1"), mark)
         a.make_automaton()
         _AUTOMATON.append(a)
     return _AUTOMATON[0]
@@ -167,12 +224,19 @@ def automaton():
 def sniff(data: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The type by the valid signature at the start, and embedded media (type, offset, length)."""
     kind, embedded, until = None, [], 0
-    for end, i in automaton().iter(data.decode("latin-1")):
-        magic, name, validate = SIGNATURES[i]
-        at = end + 1 - len(magic)
+    marks: dict[bytes, list[int]] = {}
+    starts: list[tuple[int, int]] = []
+    for end, what in automaton().iter(data.decode("latin-1")):
+        if isinstance(what, bytes):
+            marks.setdefault(what, []).append(end + 1 - len(what))
+        else:
+            starts.append((end + 1 - len(SIGNATURES[what][0]), what))
+    value = Value(data, marks)
+    for at, i in starts:
+        _, name, validate = SIGNATURES[i]
         if at and at < until:
             continue
-        length = validate(data, at)
+        length = validate(value, at)
         if length is None:
             continue
         if at == 0:
