@@ -55,10 +55,15 @@ def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str
     return spread(rows, facts, keys, by)
 
 
-def spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str | Column]) -> DataFrame:
-    """The second way of ``with_facts``, for facts of any size."""
-    dealt = rows.withColumn("_v_share", F.pmod(F.xxhash64(*by), F.lit(_SHARES)).cast("int"))
-    met = dealt.select(*keys, "_v_share").distinct().join(facts, keys)
+def share(*by: str | Column) -> Column:
+    """The share that a row belongs to, by the hash of ``by``."""
+    return F.pmod(F.xxhash64(*by), F.lit(_SHARES)).cast("int")
+
+
+def spread(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str | Column], how: str = "inner") -> DataFrame:
+    """The second way of ``with_facts``, for facts of any size; ``how`` is inner or left."""
+    dealt = rows.withColumn("_v_share", share(*by))
+    met = dealt.select(*keys, "_v_share").distinct().join(facts, keys, how)
     return dealt.join(met, [*keys, "_v_share"]).drop("_v_share")
 
 

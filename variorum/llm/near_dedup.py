@@ -18,8 +18,12 @@ the pair shares: by signature, then exactly by their words, unless earlier links
 it gives links, a forest, not pairs.  Buckets larger than ``block`` texts are dealt into blocks by
 hash and each two blocks meet in a task of their own, so no task holds more than two blocks and no
 pair is lost; before that, the members of such buckets are linked to the bucket's least text where
-they are similar, and buckets that are one component by then are done.  Components come from
-repeated large-star and small-star steps on written tables.
+they are similar, and buckets that are one component by then are done.  Blocks compare signatures
+first, without texts; texts follow only for members whose signature is near another one's.  Components
+come from repeated large-star and small-star steps on written tables.
+
+Common texts, hubs and classes are dealt over tasks: a text counts once for each task that reads it, and
+the members of a hub or class meet what is known of it by key and share (``spread``).
 
 A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands: at 0.8 with 32 bands of
 6 rows 0.99994.  Pairs of which the signatures agree in fewer registers than five standard deviations
@@ -27,7 +31,9 @@ below the threshold allow aren't compared word by word.
 
 Defined results: texts of fewer than five words are one shingle of all their words; texts without
 a word (and nulls) are classes of their own: their class is their id.  A null id is a row like any
-other; a class of null ids only is null.  Repeated rows are exact copies of each other.
+other; a class of null ids only is null.  Repeated rows are exact copies of each other.  An empty table
+gives an empty result; texts of any length are signed and compared whole.  Only the id and the text are
+read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -35,15 +41,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, OrderedDict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import batches, out_batch, table, written
+from ._frames import FEW, batches, out_batch, share, spread, table, with_facts, written
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 32, 6, 0.8
 
@@ -167,13 +173,17 @@ def _jaccard(x: Counter, y: Counter) -> float:
     return shared / total if total else 0.0
 
 
-SIGNED = "_v_id long, tid binary, size long, bands array<long>, sketch binary"
-_SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+SIGNED = "_v_id long, tid binary, size long, bands array<long>, sketch binary, text string"
+_SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("text", pa.string())])
+#: How many digests a task remembers; a text that it has forgotten is signed again, with the same result.
+_REMEMBERED = 1 << 16
+#: Buckets of more texts than this are kept out of the shuffle by bucket.
+HOT = 10_000
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest of each text; and for its first row in a task its number of shingles, band keys and one byte
-    of each register.  Texts without a word have no digest."""
+    """Digest of each text; and for its first row in a task its number of shingles, band keys, one byte
+    of each register and the text.  Texts without a word have no digest."""
     size = bands * rows
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +191,8 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
         for batch, texts in batches(source, "text", 1_000_000):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
             tids = [hashlib.sha256(x).digest()[:16] for x in raw]
+            if len(seen) > _REMEMBERED:
+                seen.clear()
             fresh = [i for i, t in enumerate(tids) if t not in seen and not seen.add(t)]
             owner, value, count = shingles([raw[i] for i in fresh], words)
             folded = mix(signatures(owner, value, count, len(fresh), size).view(np.uint64))
@@ -190,14 +202,14 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             key = mix(key + np.arange(bands, dtype=np.uint64) * _GOLDEN).view(np.int64)
             total = np.bincount(owner, count, len(fresh)).astype(np.int64)
             low = (folded >> np.uint64(56)).astype(np.uint8)
-            own: list[tuple] = [(0, None, None)] * len(raw)
+            own: list[tuple] = [(0, None, None, None)] * len(raw)
             for i, n, k, x in zip(fresh, total.tolist(), key, low):
                 if n:
-                    own[i] = (n, k.tolist(), x.tobytes())
-            sizes, keys, sketches = zip(*own)
+                    own[i] = (n, k.tolist(), x.tobytes(), texts[i])
+            sizes, keys, sketches, whole = zip(*own)
             worded = [bool(_WORD.search(x)) for x in raw]
             yield out_batch(
-                _SIGNED, {"_v_id": batch.column(0), "tid": [t if w else None for t, w in zip(tids, worded)], "size": list(sizes), "bands": list(keys), "sketch": list(sketches)}
+                _SIGNED, {"_v_id": batch.column(0), "tid": [t if w else None for t, w in zip(tids, worded)], "size": list(sizes), "bands": list(keys), "sketch": list(sketches), "text": list(whole)}
             )
 
     return docs.select(F.col(id_col).cast("long").alias("_v_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
@@ -211,13 +223,13 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     Nodes that are their own root have no row.
 
     Large-star and small-star steps in turn until a step changes nothing; a node with very many
-    neighbours is handled by an aggregate and a join, never as one group.
+    neighbours is handled by an aggregate and a join by node and share of the neighbours, never as one group.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")) if large else pairs
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        met = both.join(least, "a")
+        met = spread(both, least, ["a"], ["b"])
         out = met.filter("b > a").select(F.col("b").alias("x"), "m") if large else met.select(F.explode(F.array("a", "b")).alias("x"), "m")
         return out.filter("x != m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -232,29 +244,44 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def _linked(pairs: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
-    """Pairs (a, b, sketch_a, sketch_b, text_a, text_b) that are as similar as the threshold."""
+def _near(pairs: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, sketch_a, sketch_b) whose signatures agree in ``least`` registers."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: OrderedDict[bytes, Counter] = OrderedDict()
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            near = (x == y).sum(1) >= least
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=_LINKS).filter(pa.array(near))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
 
-        def of(i: bytes, text: str) -> Counter:
-            if i not in bags:
-                bags[i] = bag(text, words)
-                if len(bags) > 64:
-                    bags.popitem(last=False)
-            return bags[i]
 
+def _linked(pairs: DataFrame, texts: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
+    """Those of the pairs (a, hub b) that are as similar as the threshold.
+
+    A hub's members are dealt into shares; each share meets one copy of the hub's text, which comes first."""
+    sketch = lambda x: texts.select(F.col("tid").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    near = written(_near(spread(pairs.join(sketch("a"), "a"), sketch("b"), ["b"], ["a"]), least).withColumn("share", share("a")), "near")
+    text = lambda x: texts.select(F.col("tid").alias(x), "text")
+    members = near.join(text("a"), "a").select("b", "share", F.lit(1).alias("role"), "a", "text")
+    hubs = near.select("b", "share").distinct().join(text("b"), "b").select("b", "share", F.lit(0).alias("role"), F.col("b").alias("a"), "text")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for batch in source:
             found = []
-            for a, b, x, y, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                near = (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum() >= least
-                if near and _jaccard(of(a, s), of(b, t)) >= threshold:
+            for b, role, a, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if not role:
+                    hub = bag(text, words)
+                elif _jaccard(hub, bag(text, words)) >= threshold:
                     found.append((a, b))
             if found:
                 yield out_batch(_LINKS, dict(zip("ab", zip(*found))))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    dealt = members.unionByName(hubs).repartition("b", "share").sortWithinPartitions("b", "share", "role", "a")
+    return dealt.select("b", "role", "a", "text").mapInArrow(run, "a binary, b binary")
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -289,42 +316,76 @@ class _Bucket:
             self.bags[i] = bag(self.texts[i], self.words)
         return self.bags[i]
 
+    def near(self, i: int) -> np.ndarray:
+        """Which of the texts before the i-th are compared with it here, and are near by their signatures."""
+        near = (self.sketches[:i] == self.sketches[i]).sum(1) >= self.least
+        small, large = np.minimum(self.sizes[:i], self.sizes[i]), np.maximum(self.sizes[:i], self.sizes[i])
+        near &= small >= self.threshold * large
+        if self.cross:
+            near &= self.sides[:i] != self.sides[i]
+        if self.place:
+            near &= ~(self.bands[:i] == self.bands[i]).any(1)
+        return near
+
+    def candidates(self) -> Iterator[bytes]:
+        """The texts that are near one of another component."""
+        flagged = np.zeros(len(self.tids), bool)
+        names: dict[bytes, int] = {}
+        roots = np.array([names.setdefault(r, len(names)) for r in self.roots])
+        for i in range(1, len(self.tids)):
+            near = self.near(i) & (roots[:i] != roots[i])
+            flagged[:i] |= near
+            flagged[i] |= near.any()
+        return (t for t, f in zip(self.tids, flagged) if f)
+
     def links(self) -> Iterator[tuple[bytes, bytes]]:
         for i in range(1, len(self.tids)):
-            near = (self.sketches[:i] == self.sketches[i]).sum(1) >= self.least
-            small, large = np.minimum(self.sizes[:i], self.sizes[i]), np.maximum(self.sizes[:i], self.sizes[i])
-            near &= small >= self.threshold * large
-            if self.cross:
-                near &= self.sides[:i] != self.sides[i]
-            if self.place:
-                near &= ~(self.bands[:i] == self.bands[i]).any(1)
-            for j in np.flatnonzero(near).tolist():
+            for j in np.flatnonzero(self.near(i)).tolist():
                 x, y = self.find(self.roots[i]), self.find(self.roots[j])
                 if x != y and _jaccard(self.bag(i), self.bag(j)) >= self.threshold:
                     self.parent[max(x, y)] = min(x, y)
                     yield self.tids[i], self.tids[j]
 
 
-def _bucket_links(rows: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
-    """Links of rows (key, p, q, side, tid, root, size, place, bands, sketch, text) within each (key, p, q)."""
+_KEYS = ["key", "p", "q"]
+_MEMBER = ["tid", "root", "size", "side", "place", "bands", "sketch", "text"]
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (found := list(_Bucket(held, least, threshold, words).links())):
-                yield out_batch(_LINKS, dict(zip("ab", zip(*found))))
+def _by_bucket(rows: DataFrame, schema: str, found: Callable[[tuple, list[tuple]], pa.RecordBatch | None]) -> DataFrame:
+    """``found`` for the members of each (key, p, q), one bucket (or two blocks of one) at a time."""
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in source:
             for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, p, q) != current:
-                    yield from close()
+                    if len(held) > 1 and (out := found(current, held)):
+                        yield out
                     current, held = (key, p, q), []
                 held.append(tuple(row))
-        yield from close()
+        if len(held) > 1 and (out := found(current, held)):
+            yield out
+
+    return rows.select(*_KEYS, *_MEMBER).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "tid").mapInArrow(run, schema)
+
+
+def _bucket_links(rows: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
+    def found(_: tuple, held: list[tuple]) -> pa.RecordBatch | None:
+        links = list(_Bucket(held, least, threshold, words).links())
+        return out_batch(_LINKS, dict(zip("ab", zip(*links)))) if links else None
 
-    dealt = rows.select("key", "p", "q", "tid", "root", "size", "side", "place", "bands", "sketch", "text").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "tid")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return _by_bucket(rows, "a binary, b binary", found)
+
+
+def _bucket_candidates(rows: DataFrame, least: int, threshold: float, words: int) -> DataFrame:
+    """(key, p, q, tid) of the members that are near another one by their signatures; no texts are needed."""
+    schema = pa.schema([("key", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("tid", pa.binary())])
+
+    def found(where: tuple, held: list[tuple]) -> pa.RecordBatch | None:
+        tids = list(_Bucket(held, least, threshold, words).candidates())
+        return out_batch(schema, {"key": [where[0]] * len(tids), "p": [where[1]] * len(tids), "q": [where[2]] * len(tids), "tid": tids}) if tids else None
+
+    return _by_bucket(rows.withColumn("text", F.lit(None).cast("string")), "key long, p int, q int, tid binary", found)
 
 
 def digest(text_col: str = "text") -> Column:
@@ -339,46 +400,68 @@ def rooted(
     size = bands * rows
     least = max(0, math.floor(size * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / size))))
     signed = written(sign(docs, words, bands, rows, id_col, text_col), "signed")
-    banded = signed.filter("bands is not null").select("tid", F.posexplode("bands").alias("place", "key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("all"), F.min("place").alias("place"))
-    buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all").agg(F.min(F.struct("place", "key")).alias("k"))
-    buckets = buckets.select("k.key", "k.place", "n", "low")
-    held = written(banded.select("tid", "key").join(buckets, "key"), "buckets")
-    ids = held.select("tid").distinct()
-    texts = docs.select(digest(text_col).alias("tid"), F.col(text_col).cast("string").alias("text")).join(ids, "tid", "left_semi").dropDuplicates(["tid"])
-    facts = signed.filter("bands is not null").select("tid", "size", "bands", "sketch").join(ids, "tid", "left_semi").dropDuplicates(["tid"])
-    texts = written(texts.join(facts, "tid"), "texts")
+    facts = signed.filter("bands is not null")
+    banded = facts.select("tid", F.posexplode("bands").alias("place", "key"))
+    mark = lambda *salt: F.sum(F.xxhash64("tid", *salt).cast("decimal(38,0)"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), mark().alias("all"), mark(F.lit(1)).alias("also"), F.min("place").alias("place"))
+    buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all", "also").agg(F.min(F.struct("place", "key")).alias("k"))
+    buckets = written(buckets.select("k.key", "k.place", "n", "low"), "buckets")
+    held = written(_members(banded.select("tid", "key"), buckets), "held")
+    texts = facts.select("tid", "size", "bands", "sketch", "text").join(held.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    texts = written(texts, "texts")
 
     links = None
     most = held.agg(F.max("n")).first()[0] or 0
     held = held.withColumn("root", F.col("tid"))
     if most > block:
         pairs = held.filter((F.col("n") > block) & (F.col("low") != F.col("tid"))).select(F.col("tid").alias("a"), F.col("low").alias("b")).distinct()
-        side = lambda x: texts.select(F.col("tid").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("text").alias(f"text_{x}"))
-        links = written(_linked(pairs.join(side("a"), "a").join(side("b"), "b"), least, threshold, words), "links")
+        links = written(_linked(pairs, texts, least, threshold, words), "links")
         to = components(links, "starred")
         held = held.drop("root").join(to, held["tid"] == to["node"], "left").withColumn("root", F.coalesce("root", "tid")).drop("node")
         open_ = held.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x != _y").select("key")
-        held = written(held.join(open_, "key", "left_semi"), "open")
-    # blocks of large buckets: a member goes to the tasks of its own block with each block
-    n_blocks = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    dealt = held.withColumn("blocks", n_blocks).withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("side", "_o").alias("p"), F.greatest("side", "_o").alias("q"), "side", "tid", "root", "place")
-    found = written(_bucket_links(dealt.join(texts, "tid"), least, threshold, words), "links")
-    links = found if links is None else links.union(found)
-    root = components(links)
-
-    return signed.select("_v_id", "tid").join(root, signed["tid"] == root["node"], "left").select("_v_id", "tid", F.coalesce("root", "tid").alias("root"))
+        held = written(with_facts(held, written(open_, "open"), ["key"], ["tid"]), "open-held")
+    member = texts.select("tid", "size", "bands", "sketch")
+    small = held.filter(F.col("n") <= block).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "tid", "root", "place")
+    found = written(_bucket_links(small.join(texts, "tid"), least, threshold, words), "links")
+    if most > block:
+        # blocks of large buckets: a member goes to the tasks of its own block with each block
+        n_blocks = F.ceil(F.col("n") * 2 / block).cast("int")
+        large = held.filter(F.col("n") > block).withColumn("blocks", n_blocks).withColumn("side", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+        dealt = large.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("side", "_o").alias("p"), F.greatest("side", "_o").alias("q"), "side", "tid", "root", "place")
+        asked = written(_bucket_candidates(dealt.join(member, "tid"), least, threshold, words), "asked")
+        chosen = dealt.join(asked, [*_KEYS, "tid"], "left_semi")
+        found = found.union(written(_bucket_links(chosen.join(texts, "tid"), least, threshold, words), "links"))
+        found = found.union(links)
+    root = components(found).withColumnRenamed("node", "tid")
+
+    told = spread(signed.select("_v_id", "tid").filter("tid is not null"), root, ["tid"], ["_v_id"], "left").select("_v_id", "tid", F.coalesce("root", "tid").alias("root"))
+    return told.unionByName(signed.filter("tid is null").select("_v_id", "tid", F.col("tid").alias("root")))
+
+
+def _members(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (tid, key) with what is known of their buckets (a written table).
+
+    Large buckets are few and broadcast (if they are ``FEW``, which is counted), so only members of small ones
+    are shuffled by bucket; beyond, all are joined by bucket and share."""
+    large = buckets.filter(F.col("n") > HOT)
+    n = large.count()
+    if not n:
+        return rows.join(buckets, "key")
+    if n > FEW:
+        return spread(rows, buckets, ["key"], ["tid"])
+    known = F.broadcast(large)
+    small = rows.join(F.broadcast(large.select("key")), "key", "left_anti").join(buckets.filter(F.col("n") <= HOT), "key")
+    return small.unionByName(rows.join(known, "key"))
 
 
 def near_classes(
     docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = 1024
 ) -> DataFrame:
     """(doc_id, class_id): the least id of the document's near-duplicate class."""
-    grouped = written(rooted(docs, words, bands, rows, threshold, id_col, text_col, block).select("_v_id", "root"), "grouped")
+    grouped = written(rooted(docs, words, bands, rows, threshold, id_col, text_col, block), "grouped")
     classes = grouped.filter("root is not null").groupBy("root").agg(F.min("_v_id").alias("class_id"))
-    return grouped.join(classes, "root", "left").select(F.col("_v_id").alias("doc_id"), F.when(F.col("root").isNull(), F.col("_v_id")).otherwise(F.col("class_id")).alias("class_id"))
+    worded = spread(grouped.filter("root is not null"), classes, ["root"], ["_v_id", "tid"]).select(F.col("_v_id").alias("doc_id"), "class_id")
+    return worded.unionByName(grouped.filter("root is null").select(F.col("_v_id").alias("doc_id"), F.col("_v_id").alias("class_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
