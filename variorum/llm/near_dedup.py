@@ -402,12 +402,16 @@ def rooted(
     signed = written(sign(docs, words, bands, rows, id_col, text_col), "signed")
     facts = signed.filter("bands is not null")
     banded = facts.select("tid", F.posexplode("bands").alias("place", "key"))
+    # most keys are of one text: they are counted alone first, and only the members of others are told apart
+    counts = written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    shared = written(_members(banded, counts).drop("n"), "shared")
     mark = lambda *salt: F.sum(F.xxhash64("tid", *salt).cast("decimal(38,0)"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), mark().alias("all"), mark(F.lit(1)).alias("also"), F.min("place").alias("place"))
+    buckets = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), mark().alias("all"), mark(F.lit(1)).alias("also"), F.min("place").alias("place"))
     buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all", "also").agg(F.min(F.struct("place", "key")).alias("k"))
     buckets = written(buckets.select("k.key", "k.place", "n", "low"), "buckets")
-    held = written(_members(banded.select("tid", "key"), buckets), "held")
-    texts = facts.select("tid", "size", "bands", "sketch", "text").join(held.select("tid").distinct(), "tid", "left_semi").dropDuplicates(["tid"])
+    held = written(_members(shared.select("tid", "key"), buckets), "held")
+    # texts are joined in the same way at every size
+    texts = facts.select("tid", "size", "bands", "sketch", "text").join(held.select("tid").distinct().hint("merge"), "tid", "left_semi").dropDuplicates(["tid"])
     texts = written(texts, "texts")
 
     links = None
@@ -422,7 +426,7 @@ def rooted(
         held = written(with_facts(held, written(open_, "open"), ["key"], ["tid"]), "open-held")
     member = texts.select("tid", "size", "bands", "sketch")
     small = held.filter(F.col("n") <= block).select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), "tid", "root", "place")
-    found = written(_bucket_links(small.join(texts, "tid"), least, threshold, words), "links")
+    found = written(_bucket_links(small.join(texts.hint("merge"), "tid"), least, threshold, words), "links")
     if most > block:
         # blocks of large buckets: a member goes to the tasks of its own block with each block
         n_blocks = F.ceil(F.col("n") * 2 / block).cast("int")
