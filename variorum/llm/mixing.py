@@ -1,16 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 4).
 
 The corpus is a table of cells (one for each source, language and topic) of tokens.  Raking scales
-the cells to the target share of each source, then of each language, then of each topic, and again,
-until all marginals hold at once.  A document's expected number of copies is its cell's raked by its
+the cells to the target share of each source, then of each language, then of each topic, and again, in
+``sweeps`` rounds (a parameter, as SQL engines have no loop until a fit); ``off_target`` tells how far the
+marginals still are from their targets, and more than ``CLOSE_ENOUGH`` gives a warning.  A document's expected number of copies is its cell's raked by its
 actual tokens, times the share of tokens to keep.  Documents are drawn without replacement by that
 probability, at most 1; what a capped probability lacks is the document's ``weight`` (1 elsewhere),
 so the weighted sample has the target mixture.  The draw is a hash of seed and id: the same whatever
 the partitions, and executors that are lost draw again alike.
 
 Cells are counted with partial sums.  Up to ``few_cells`` cells the raking is done on the driver
-and the result is broadcast (a checked, bounded size); beyond, sweeps run as windows over written
-tables and the cells are joined to salted documents, with equal results.
+and the result is broadcast (a checked, bounded size); beyond, sweeps run as aggregates over written
+tables, whose sums meet the cells by value and share, and the cells are joined to documents in the same
+way, with equal results.
 
 With ``capped`` no probability exceeds 1 in the first place, so the drawn tokens have the target mixture
 without weights: cells are scaled in the same way but never beyond their tokens, and what a cell lacks
@@ -19,18 +21,24 @@ values of its dimension share what it lacks (``reachable``).
 
 Targets: shares by value, or an exponent: a value's share is then its own share to that power (0:
 equal shares, 1: as it is).  Values without a target get none.  Null values are the value ''.
-Documents without tokens (null, empty, blank) have no weight and are never drawn.
+Documents without tokens (null, empty, blank) have no weight and are never drawn.  The topic is a rule on
+the shape of a text, which SQL engines share; ``topic`` may be replaced by any labelling.
+
+Rows with a null id share one draw, and so do rows with one id: they are drawn together where their
+probabilities allow.  Repeated rows are separate documents, an empty table gives an empty result, very long
+texts are counted whole.  Result columns start with _v_; input columns of such names are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import table, written
+from ._frames import spread, table, with_facts, written
 
 DIMS = ("source", "lang", "topic")
 #: Production targets: exponents of the present shares.
@@ -38,6 +46,8 @@ TARGETS: dict[str, float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 KEEP, SWEEPS, SEED = 0.7, 10, 4
 #: Sweeps with caps end when none of the cells moves by this share of all tokens, or after so many.
 CLOSE, CAPPED_SWEEPS = 1e-8, 300
+#: Relative error of a marginal after the sweeps that is worth a warning.
+CLOSE_ENOUGH = 0.01
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,6 +101,19 @@ def rake(keys: list[tuple[str, ...]], tokens: np.ndarray, targets: list[float |
     return fitted
 
 
+def off_target(keys: list[tuple[str, ...]], tokens: np.ndarray, fitted: np.ndarray, targets: list[float | Mapping[str, float]]) -> float:
+    """The largest relative error of a marginal against its target (of targets that aren't 0)."""
+    total, worst = float(tokens.sum()), 0.0
+    for d, target in enumerate(targets):
+        names, code = np.unique([k[d] for k in keys], return_inverse=True)
+        own = np.bincount(code, tokens, len(names))
+        share = _shares({str(n): x / total for n, x in zip(names, own)}, target)
+        want = np.array([share[str(n)] for n in names]) * total
+        have = np.bincount(code, fitted, len(names))
+        worst = max(worst, np.abs(have[want > 0] / want[want > 0] - 1).max(initial=0.0))
+    return worst
+
+
 def reachable(want: np.ndarray, most: np.ndarray) -> np.ndarray:
     """``want`` (tokens by value) with what exceeds ``most`` dealt to the other values in proportion."""
     total, full = want.sum(), np.zeros(len(want), bool)
@@ -123,8 +146,8 @@ def rake_capped(keys: list[tuple[str, ...]], tokens: np.ndarray, targets: list[f
     return drawn
 
 
-def _capped_windows(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], keep: float, sweeps: int = CAPPED_SWEEPS) -> DataFrame:
-    """The same for any number of cells: windows over written tables, and ``reachable`` as aggregates."""
+def _capped_tables(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], keep: float, sweeps: int = CAPPED_SWEEPS) -> DataFrame:
+    """The same for any number of cells: aggregates over written tables, ``reachable`` too."""
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells.withColumn("fitted", F.col("tokens") * F.lit(float(keep)))
@@ -150,9 +173,8 @@ def _capped_windows(cells: DataFrame, names: list[str], targets: list[float | Ma
     for _ in range(sweeps):
         now = now.withColumn("last", F.col("fitted"))
         for name in names:
-            have = F.sum("fitted").over(Window.partitionBy(name))
             want = F.col(f"want_{name}")
-            now = now.withColumn("_have", have)
+            now = _with_sums(now, name, names)
             now = now.withColumn("fitted", F.when(F.col("_have") > 0, F.least(F.col("fitted") * want / F.col("_have"), F.col("tokens").cast("double"))).otherwise(0.0)).drop("_have")
         now = written(now, "cells")
         if (now.agg(F.max(F.abs(F.col("fitted") - F.col("last")))).first()[0] or 0.0) < CLOSE * total or not total:
@@ -161,8 +183,14 @@ def _capped_windows(cells: DataFrame, names: list[str], targets: list[float | Ma
     return now.select(*names, "tokens", "fitted")
 
 
-def _rake_windows(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], sweeps: int) -> DataFrame:
-    """The same for any number of cells: windows over written tables."""
+def _with_sums(cells: DataFrame, name: str, names: list[str]) -> DataFrame:
+    """The cells with _have: the fitted tokens of their value of a dimension."""
+    sums = written(cells.groupBy(name).agg(F.sum("fitted").alias("_have")), "sums")
+    return with_facts(cells, sums, [name], [n for n in names if n != name])
+
+
+def _rake_tables(cells: DataFrame, names: list[str], targets: list[float | Mapping[str, float]], sweeps: int) -> DataFrame:
+    """The same for any number of cells: aggregates over written tables."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("fitted", F.col("tokens").cast("double"))
@@ -179,8 +207,8 @@ def _rake_windows(cells: DataFrame, names: list[str], targets: list[float | Mapp
     now = written(now, "cells")
     for _ in range(sweeps):
         for name in names:
-            have = F.sum("fitted").over(Window.partitionBy(name))
-            now = now.withColumn("fitted", F.when(have > 0, F.col("fitted") * F.col(f"want_{name}") / have).otherwise(0.0))
+            now = _with_sums(now, name, names)
+            now = now.withColumn("fitted", F.when(F.col("_have") > 0, F.col("fitted") * F.col(f"want_{name}") / F.col("_have")).otherwise(0.0)).drop("_have")
         now = written(now, "cells")
     return now.select(*names, "tokens", "fitted")
 
@@ -216,18 +244,17 @@ def calibrated(
         fitted = tokens
         if rows:
             fitted = rake_capped(keys, tokens, wanted, keep) / keep if capped else rake(keys, tokens, wanted, sweeps)
+            if not capped and (off := off_target(keys, tokens, fitted, wanted)) > CLOSE_ENOUGH:
+                warnings.warn(f"a marginal is {off:.1%} off its target after {sweeps} sweeps", stacklevel=2)
         schema = ", ".join(f"{n} string" for n in names) + ", _v_copies double"
         small = spark.createDataFrame([(*k, float(f / t) * keep) for k, f, t in zip(keys, fitted, tokens)], schema)
         met = told.join(F.broadcast(small), names, "left")
     else:
-        salts = 32
         if capped:
-            large = _capped_windows(cells, names, wanted, keep).select(*names, (F.col("fitted") / F.col("tokens")).alias("_v_copies"))
+            large = _capped_tables(cells, names, wanted, keep).select(*names, (F.col("fitted") / F.col("tokens")).alias("_v_copies"))
         else:
-            large = _rake_windows(cells, names, wanted, sweeps).select(*names, (F.col("fitted") / F.col("tokens") * keep).alias("_v_copies"))
-        large = large.withColumn("_v_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = told.withColumn("_v_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-        met = salted.join(large, [*names, "_v_salt"], "left").drop("_v_salt")
+            large = _rake_tables(cells, names, wanted, sweeps).select(*names, (F.col("fitted") / F.col("tokens") * keep).alias("_v_copies"))
+        met = spread(told, large, names, [id_col], "left")
     copies = F.when(F.col("_v_tokens") > 0, F.coalesce("_v_copies", F.lit(0.0))).otherwise(0.0)
     chance = F.round(F.least(F.lit(1.0), copies), 6)
     met = met.withColumn("_v_probability", chance).withColumn("_v_weight", F.round(F.greatest(F.lit(1.0), copies), 6))
