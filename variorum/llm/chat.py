@@ -14,7 +14,12 @@ the template occurs in an escaped text and ``unescape`` gives back the text exac
 
 Nulls: a null text or role is empty, a null op is ``delta``; null turns come first; rows of a null
 conversation form one conversation.  Equal events (same message and sequence) are folded in the order
-of their op, role and text.  A message without any event is none.
+of their op, role and text.  A message without any event is none.  Equal rows of a table are messages of
+their own; an empty log gives no message and no conversation.  Very long texts are escaped and read back
+whole.  Only the named columns are read, so others can't clash.
+
+A conversation's fragments are one stream, and its digest is of the stream in order: rendering and reading
+back take one task a conversation, which holds one batch of it at a time (the sort before spills to disk).
 """
 
 from __future__ import annotations

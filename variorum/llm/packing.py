@@ -16,7 +16,8 @@ are at most ``2 * capacity`` ranges at any time, and each takes at most one run
 that fits in a sequence.  Real plans have some tens of thousands of runs of 40 bytes.
 
 Nulls: a null text is an empty document (one piece with the end token); a null id is kept.
-Repeated rows are separate documents.  An empty table gives an empty result.
+Repeated rows are separate documents.  An empty table gives an empty result.  Very long texts are
+encoded whole and cut into pieces.  Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
