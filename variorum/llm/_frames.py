@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,6 +84,25 @@ def batches(
             part = batch.slice(at, stop - at)
             yield part, column.slice(at, stop - at).to_pylist()
             at = stop
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # no such library on this platform: nothing to give back
+        return None
+
+
+_LIBC = _libc()
 
 
 def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -173,8 +173,8 @@ def _jaccard(x: Counter, y: Counter) -> float:
     return shared / total if total else 0.0
 
 
-SIGNED = "_v_id long, tid binary, size long, bands array<long>, sketch binary, text string"
-_SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("text", pa.string())])
+SIGNED = "_v_id long, tid binary, size long, bands array<long>, sketch binary"
+_SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 #: How many digests a task remembers; a text that it has forgotten is signed again, with the same result.
 _REMEMBERED = 1 << 16
 #: Buckets of more texts than this are kept out of the shuffle by bucket.
@@ -182,8 +182,8 @@ HOT = 10_000
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest of each text; and for its first row in a task its number of shingles, band keys, one byte
-    of each register and the text.  Texts without a word have no digest."""
+    """Digest of each text; and for its first row in a task its number of shingles, band keys and one byte
+    of each register.  Texts without a word have no digest."""
     size = bands * rows
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +202,14 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             key = mix(key + np.arange(bands, dtype=np.uint64) * _GOLDEN).view(np.int64)
             total = np.bincount(owner, count, len(fresh)).astype(np.int64)
             low = (folded >> np.uint64(56)).astype(np.uint8)
-            own: list[tuple] = [(0, None, None, None)] * len(raw)
+            own: list[tuple] = [(0, None, None)] * len(raw)
             for i, n, k, x in zip(fresh, total.tolist(), key, low):
                 if n:
-                    own[i] = (n, k.tolist(), x.tobytes(), texts[i])
-            sizes, keys, sketches, whole = zip(*own)
+                    own[i] = (n, k.tolist(), x.tobytes())
+            sizes, keys, sketches = zip(*own)
             worded = [bool(_WORD.search(x)) for x in raw]
             yield out_batch(
-                _SIGNED, {"_v_id": batch.column(0), "tid": [t if w else None for t, w in zip(tids, worded)], "size": list(sizes), "bands": list(keys), "sketch": list(sketches), "text": list(whole)}
+                _SIGNED, {"_v_id": batch.column(0), "tid": [t if w else None for t, w in zip(tids, worded)], "size": list(sizes), "bands": list(keys), "sketch": list(sketches)}
             )
 
     return docs.select(F.col(id_col).cast("long").alias("_v_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
@@ -270,9 +270,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: int, threshold: float, wo
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
-        for batch in source:
+        for part in (batch.slice(k, 256) for batch in source for k in range(0, batch.num_rows, 256)):
             found = []
-            for b, role, a, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, role, a, text in zip(*(c.to_pylist() for c in part.columns)):
                 if not role:
                     hub = bag(text, words)
                 elif _jaccard(hub, bag(text, words)) >= threshold:
@@ -356,8 +356,8 @@ def _by_bucket(rows: DataFrame, schema: str, found: Callable[[tuple, list[tuple]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
-        for batch in source:
-            for key, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+        for part in (batch.slice(k, 256) for batch in source for k in range(0, batch.num_rows, 256)):
+            for key, p, q, *row in zip(*(c.to_pylist() for c in part.columns)):
                 if (key, p, q) != current:
                     if len(held) > 1 and (out := found(current, held)):
                         yield out
@@ -410,9 +410,13 @@ def rooted(
     buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all", "also").agg(F.min(F.struct("place", "key")).alias("k"))
     buckets = written(buckets.select("k.key", "k.place", "n", "low"), "buckets")
     held = written(_members(shared.select("tid", "key"), buckets), "held")
-    # texts are joined in the same way at every size
-    texts = facts.select("tid", "size", "bands", "sketch", "text").join(held.select("tid").distinct().hint("merge"), "tid", "left_semi").dropDuplicates(["tid"])
-    texts = written(texts, "texts")
+    # a common text is dealt by the ids of its rows, and is one row of each share; texts are joined alike at every size
+    ids = held.select("tid").distinct()
+    rows_ = docs.select(digest(text_col).alias("tid"), share(id_col).alias("_share"), F.col(text_col).cast("string").alias("text"))
+    asked = rows_.select("tid", "_share").distinct().join(ids, "tid", "left_semi")
+    texts = rows_.join(asked.hint("merge"), ["tid", "_share"], "left_semi").dropDuplicates(["tid"]).select("tid", "text")
+    told = facts.select("tid", "size", "bands", "sketch").join(ids, "tid", "left_semi").dropDuplicates(["tid"])
+    texts = written(texts.join(told, "tid"), "texts")
 
     links = None
     most = held.agg(F.max("n")).first()[0] or 0
