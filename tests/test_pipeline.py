@@ -54,6 +54,25 @@ def test_run(spark, tmp_path):
     assert len(list((out / "reports").iterdir())) == 6 and (out / "data" / "chapters" / "5.json").exists()
 
 
+def test_validation_style_and_figures(spark, tmp_path, books):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "chapter_5.xml").write_text(apparatus(), encoding="utf-8")
+    s = Settings(min_units=5, min_extant=5, min_overlap=5, n_clusters=3, clade_compactness=0.4, genealogy_bootstrap=3, validation_k_max=6, window=20, n_mfw=5)
+    p = Pipeline(spark, str(tmp_path / "store"), s)
+    p.ingest(str(tmp_path / "in"))
+    p.families()
+    p.metrics()
+    bundle = spark.createDataFrame([("33",), ("579",)], "base_ga string")
+    found = p.validate(bundle)
+    assert found["n_witnesses"] == 14 and set(found["bootstrap_support"]) == {"f1_core", "f13", "f1_full", "Byz"} and len(found["sensitivity"]) == 9
+    assert {"f1", "f13", "Alexandrian", "Byz"} == set(found["silhouette"]["by_family"]) and -1 <= found["cluster_match"]["ari"] <= 1 and len(found["known_pairs"]["P75"]) == 2
+    text = p.publish_validation(found, str(tmp_path / "out")).read_text()
+    assert "## Clade support" in text and "f1_core" in text and "| max_modal |" in text
+    style = p.publish_style(p.style(books, "J", 100), str(tmp_path / "out")).read_text()
+    assert "## Sections against the body" in style and "farewell" in style
+    assert [f.name for f in p.figures(str(tmp_path / "out"))] == ["chapters.svg", "tree.svg"]
+
+
 @pytest.fixture(scope="module")
 def books(spark):
     rng = random.Random(2)

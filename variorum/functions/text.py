@@ -124,6 +124,28 @@ def link(template: str | Column, siglum: str | Column, available: Column) -> Col
     return F.when(available, F.replace(col(template), F.lit("{ga}"), col(siglum)))
 
 
+def binary_round(value: str | Column, digits: int) -> Column:
+    """Rounding to at most four digits by the exact binary value, halves to even (Spark's ``round`` takes the
+    shortest decimal form and goes up).
+
+    A double is m * 2**e with a whole m below 2**53, so m * 5**digits is exact in 64 bits and the rest is a shift."""
+    if not 0 <= digits <= 4:
+        raise ValueError("0 to 4 digits")
+    x = col(value).cast("double")
+    size = F.abs(x)
+    e = F.floor(F.log2(size)).cast("int") - 52
+    e = F.when(size * F.pow(F.lit(2.0), -e) >= 2.0**53, e + 1).when(size * F.pow(F.lit(2.0), -e) < 2.0**52, e - 1).otherwise(e)
+    scaled = (size * F.pow(F.lit(2.0), -e)).cast("long") * F.lit(5**digits).cast("long")
+    down = -(e + digits)  # value * 10**digits = scaled / 2**down
+    whole = F.call_function("shiftright", scaled, down)
+    rest = scaled - F.call_function("shiftleft", whole, down)
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), down - 1)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    exact = (whole + up.cast("long")).cast("double") / F.lit(float(10**digits)) * F.signum(x)
+    # numbers of 2**44 and more are too large for the product; beyond 63 bits of a rest the half is never reached
+    return F.when(x.isNull() | F.isnan(x), x).when(size >= 2.0**44, F.round(x, digits)).when((size == 0) | (down > 63), 0.0).otherwise(exact)
+
+
 def weight_tier(split: Column, instability: Column, n_variant_wit: Column) -> Column:
     """How far a variation reaches: branch, tradition, singular or subfamily."""
     return F.when(split, "branch").when(instability > 0, "tradition").when(n_variant_wit <= 1, "singular").otherwise("subfamily")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +84,8 @@ def lower_percentiles(df: DataFrame, keys: list[str], value: str, q: float, out:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
-    """One row: n1, n2, U of ``first``, and the one-sided p that it is less (normal, ties and continuity corrected)."""
+    """One row: n1, n2, U of ``first``, the terms of ties, and the one-sided p that it is less (normal, ties and
+    continuity corrected; ``exact_mann_whitney`` gives the exact one of small samples without ties)."""
     rows = ranked(df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull()), value, "_rank")
     ties = rows.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     sums = rows.agg(
@@ -94,7 +96,21 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     u = F.col("r1") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     z = (u - n1 * n2 / 2 + 0.5) / F.nullif(spread, F.lit(0.0))
-    return sums.select("n1", "n2", u.alias("u"), z.alias("z"), normal_cdf(z).alias("p_less"))
+    return sums.select("n1", "n2", u.alias("u"), F.coalesce("ties", F.lit(0.0)).alias("ties"), z.alias("z"), normal_cdf(z).alias("p_less"))
+
+
+def exact_mann_whitney(u: float, n1: int, n2: int) -> float:
+    """P(U <= u) without ties, by counting the arrangements: for small samples, where normal tails are off."""
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1.0
+    # the generating function is a product of (1 - q**(n2 + i)) / (1 - q**i), i = 1 ... n1
+    for i in range(1, n1 + 1):
+        step = n2 + i
+        for k in range(len(ways) - 1, step - 1, -1):
+            ways[k] -= ways[k - step]
+        for k in range(i, len(ways)):
+            ways[k] += ways[k - i]
+    return float(ways[: int(math.floor(u)) + 1].sum() / ways.sum())
 
 
 def normal_cdf(z: Column) -> Column:

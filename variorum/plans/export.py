@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import coherence as C
 from ..operators import trees
 from ..schema import Collation
@@ -67,7 +68,7 @@ def export_site(c: Collation, folder: str | Path, gates: dict | None = None, hom
     """summary.json, verses.json, families.json and chapters/N.json; two exports are equal byte by byte."""
     out = Path(folder)
     index = M.verse_index(c).cache()
-    rounded = {k: F.round(k, 4) for k in ("instability", "stability", "family_stability", "anchor_frac", "family_instability", "between_family_split")} | {"eff_families": F.round("eff_families", 2)}
+    rounded = {k: T.binary_round(k, 4) for k in ("instability", "stability", "family_stability", "anchor_frac", "family_instability", "between_family_split")} | {"eff_families": T.binary_round("eff_families", 2)}
     _put(out / "verses.json", json_rows(index.withColumns(rounded), ["chapter", "verse"]))
     sizes = c.witnesses.groupBy("family").agg(F.count("*").alias("n"), F.min("family_source" if "family_source" in c.witnesses.columns else F.lit(None).cast("string")).alias("source"))
     families = [dict(family=r["family"], n=r["n"], source=r["source"], homogeneity=(homogeneity or {}).get(r["family"])) for r in sizes.orderBy("family").collect()]
@@ -78,7 +79,7 @@ def export_site(c: Collation, folder: str | Path, gates: dict | None = None, hom
     rule = f"flagged when a verse has ≤{s.low_confidence_max_early} early (≤{s.early_until} CE) witnesses, fewer than {s.low_confidence_min_families} families, or an effective family count below {s.low_confidence_min_eff_families}"
     chapters = M.chapter_summary(c)
     meta = M.corpus_summary(c, index).first().asDict() | {"confidence_rule": rule}
-    dump("summary.json", {"meta": meta, "chapters": json.loads(json_rows(chapters.select([F.round(f.name, 4).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in chapters.schema]), ["chapter"])), "families": families, "gates": gates, "translation": None if english is None else {"name": "World English Bible", "license": "Public Domain"}})
+    dump("summary.json", {"meta": meta, "chapters": json.loads(json_rows(chapters.select([T.binary_round(f.name, 4).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in chapters.schema]), ["chapter"])), "families": families, "gates": gates, "translation": None if english is None else {"name": "World English Bible", "license": "Public Domain"}})
     for r in chapter_documents(c, english).orderBy("chapter").toLocalIterator():
         _put(out / "chapters" / f"{r['chapter']}.json", r["doc"])
     index.unpersist()

@@ -160,5 +160,19 @@ def validate(g: Genealogy, matrix: DataFrame, truth: DataFrame, settings, b: int
     return {"n_witnesses": len(g.tree.names), "n_labeled": truth.count(), "silhouette": {"by_family": sil, "overall": overall}, "bootstrap_support": support, "known_pairs": pairs, "cluster_match": cut_sweep(g, truth, settings), "sensitivity": sens, "passed": passed}
 
 
+def validation_report(found: dict) -> dict[str, object]:
+    """The parts of the validation as a report has them."""
+    near = [{"witness": w, "nearest": ", ".join(f"{o} ({d})" for o, d in rows)} for w, rows in found["known_pairs"].items()]
+    cut = found["cluster_match"]
+    return {
+        "Verdict": {"passed": found["passed"], "witnesses": found["n_witnesses"], "labelled": found["n_labeled"]},
+        "Silhouettes": found["silhouette"]["by_family"] | {"overall": found["silhouette"]["overall"]},
+        "Clade support": found["bootstrap_support"],
+        "Nearest neighbours": near,
+        "Cuts": {"clusters": cut["k"], "ari": cut["ari"], "v_measure": cut["v_measure"], "best ari of the sweep (described, not tested)": cut["best_ari_sweep"]},
+        "Sensitivity": found["sensitivity"],
+    }
+
+
 def from_collation(c: Collation) -> Genealogy:
     return build(C.reading_matrix(c), c.settings)

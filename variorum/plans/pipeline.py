@@ -19,6 +19,7 @@ from ..operators import trees
 from ..sources import files, tei
 from . import analysis as A
 from . import export as E
+from . import figures as V
 from . import genealogy as G
 from . import metrics as M
 
@@ -77,6 +78,34 @@ class Pipeline:
         A.release_gates(found["interpolation"], found["dates"], found["monophyly"], s.alpha)
         return found
 
+    def validate(self, bundle: DataFrame | None = None, b: int | None = None) -> dict:
+        """How far the families may be trusted: silhouettes, clade support, neighbours, cuts, other thresholds."""
+        matrix = C.reading_matrix(self.collation)
+        truth = G.ground_truth(matrix.select("base_ga").distinct(), bundle)
+        return G.validate(self.genealogy, matrix, truth, self.settings, b)
+
+    def style(self, books: dict[str, tuple[str, DataFrame]], target: str, n_perm: int | None = None) -> dict:
+        """Stylometry of a book's sections; ``books``: name -> (author, lemmas)."""
+        return A.style(books, target, self.settings, n_perm)
+
+    def publish_validation(self, found: dict, folder: str) -> Path:
+        return E.report(Path(folder) / "genealogy" / "VALIDATION.md", "Genealogy validation", G.validation_report(found))
+
+    def publish_style(self, found: dict, folder: str) -> Path:
+        parts = {
+            "Method": {"windows of": self.settings.window, "most frequent words": self.settings.n_mfw, "same author": found["same_author"], "different authors": found["diff_author"], "separates authors": found["separates"]},
+            "Sections against the body": found["sections"].orderBy("section"),
+            "Tests": found["tests"].orderBy("section"),
+        }
+        return E.report(Path(folder) / "reports" / "STYLOMETRY.md", "Stylometry", parts)
+
+    def figures(self, folder: str) -> list[Path]:
+        """The chapters' instability by both ways of counting, and the tree of witnesses."""
+        c, out = self.collation, Path(folder) / "figures"
+        families = {r["base_ga"]: r["family"] for r in c.witnesses.select("base_ga", "family").collect()}  # witnesses
+        lines = {"flat_instability": "one vote a witness", "family_instability": "one vote a family", "between_family_split": "families disagree"}
+        return [V.line_chart(M.chapter_comparison(c), "chapter", lines, out / "chapters.svg", f"{c.settings.title}: instability by chapter"), V.dendrogram(self.genealogy.tree, out / "tree.svg", families)]
+
     def publish(self, folder: str, gates: dict, english: DataFrame | None = None, links: DataFrame | None = None) -> Path:
         """Reports, trees, heatmap and site data."""
         out, c, g = Path(folder), self.collation, self.genealogy
@@ -92,11 +121,18 @@ class Pipeline:
         E.copy_artifacts(made, out / "assets")
         return out
 
-    def run(self, apparatus: str, out: str, dates_csv: str | None = None, links_json: str | None = None, english_json: str | None = None) -> Path:
+    def run(
+        self, apparatus: str, out: str, dates_csv: str | None = None, links_json: str | None = None, english_json: str | None = None, bundle: str | None = None, books: dict[str, tuple[str, str]] | None = None, target: str = "john"
+    ) -> Path:
+        """``bundle``: a folder of files named by the Byzantine witnesses; ``books``: name -> (author, lemma file)."""
         self.ingest(apparatus)
         self.families(files.read_dates(self.spark, dates_csv) if dates_csv else None)
         self.metrics()
         gates = self.check()
+        self.publish_validation(self.validate(files.read_bundle(self.spark, bundle) if bundle else None), out)
+        if books:
+            self.publish_style(self.style({n: (author, files.read_lemmas(self.spark, path)) for n, (author, path) in books.items()}, target), out)
+        self.figures(out)
         return self.publish(out, gates, files.read_translation(self.spark, english_json) if english_json else None, files.read_links(self.spark, links_json) if links_json else None)
 
 
@@ -113,10 +149,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--dates")
     p.add_argument("--links")
     p.add_argument("--english")
+    p.add_argument("--bundle")
+    p.add_argument("--book", action="append", default=[], metavar="NAME:AUTHOR:FILE", help="lemmatised text for stylometry (repeat)")
+    p.add_argument("--target", default="john", help="the book whose sections are compared")
     p.add_argument("--fast", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("variorum").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    Pipeline(spark, a.store, load(a.config), a.fast).run(a.apparatus, a.out, a.dates, a.links, a.english)
+    books = {n: (author, path) for n, author, path in (b.split(":", 2) for b in a.book)}
+    Pipeline(spark, a.store, load(a.config), a.fast).run(a.apparatus, a.out, a.dates, a.links, a.english, a.bundle, books or None, a.target)
 
 
 if __name__ == "__main__":
