@@ -34,3 +34,34 @@ def test_a_clashing_column_passes_by(spark):
     rows = [(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (None, None, 7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int, tid string")
     assert sorted(map(tuple, near_dedup.near_classes(docs).collect()), key=str) == [(1, 1), (2, 1), (None, None)]
+
+
+def true_pairs(texts, threshold=0.8):
+    """All pairs of different texts that are as similar, through the rarest shingles of each (none is lost)."""
+    bags = [near_dedup.bag(t) for t in texts]
+    often = {}
+    for b in bags:
+        for s, n in b.items():
+            often[s] = often.get(s, 0) + n
+    held, found = {}, []
+    for i, b in enumerate(bags):
+        each = sorted(((often[s], s, k) for s, n in b.items() for k in range(n)))
+        seen = set()
+        for _, s, k in each[: len(each) - int(-(-threshold * len(each) // 1)) + 1]:
+            seen.update(held.get((s, k), ()))
+            held.setdefault((s, k), []).append(i)
+        found += [(j, i) for j in seen if near_dedup._jaccard(bags[j], b) >= threshold]
+    return found
+
+
+def test_recall_on_a_whole_table(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() if r["text"] and near_dedup.bag(r["text"])]
+    first = {}
+    for r in rows:
+        first.setdefault(r["text"], r["doc_id"])
+    texts = list(first)
+    pairs = true_pairs(texts)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.query(spark, "/root/testdata/sf0.01").collect()}
+    caught = sum(got[first[texts[i]]] == got[first[texts[j]]] for i, j in pairs)
+    assert pairs and caught >= 0.999 * len(pairs)
+    assert all(got[r["doc_id"]] == got[first[r["text"]]] for r in rows)
