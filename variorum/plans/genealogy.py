@@ -78,15 +78,18 @@ def bootstrap_support(g: Genealogy, members: dict[str, list[str]], b: int, seed:
     (checked); the replicates are dealt over tasks."""
     spark = g.matrix.sparkSession
     names = g.tree.names
-    n_units, most = C.codes(g.matrix).agg(F.countDistinct("app_id"), F.max("code")).first()
+    coded = C.codes(g.matrix).select("app_id", "base_ga", "code").persist()
+    n_units, most = coded.agg(F.countDistinct("app_id"), F.max("code")).first()
     if n_units * len(names) > CELLS or (most or 0) > np.iinfo(np.int16).max:
         raise ValueError("the contested units don't fit a broadcast; raise min_extant or lower max_modal")
     dense = np.full((n_units, len(names)), -1, np.int16)
     # one row a unit, without strings: places of its witnesses and their codes
     where = spark.createDataFrame(list(enumerate(names)), "i int, base_ga string")
-    rows = C.codes(g.matrix).join(where, "base_ga").groupBy("app_id").agg(F.collect_list("i").alias("i"), F.collect_list("code").alias("c"))
-    for k, r in enumerate(rows.orderBy("app_id").select("i", "c").toLocalIterator()):
-        dense[k, r["i"]] = r["c"]
+    rows = coded.join(where, "base_ga").groupBy("app_id").agg(F.collect_list("i").alias("i"), F.collect_list("code").alias("c"))
+    units = rows.orderBy("app_id").select("i", "c").toArrow()  # n_units rows
+    for k, (i, c) in enumerate(zip(units["i"], units["c"])):
+        dense[k, i.values.to_numpy()] = c.values.to_numpy()
+    coded.unpersist()
     shared = spark.sparkContext.broadcast(dense)
 
     def run(batches):
