@@ -18,15 +18,16 @@ MOST_WITNESSES = 5_000
 
 def matrix(pairs: DataFrame, most: int = MOST_WITNESSES) -> tuple[list[str], np.ndarray]:
     """Names in string order and the symmetric distance matrix of a pair table (w1, w2, distance)."""
-    rows = pairs.select("w1", "w2", "distance").limit(most * (most - 1) // 2 + 1).toPandas()
-    names = sorted(set(rows["w1"]) | set(rows["w2"]))
+    rows = pairs.select("w1", "w2", "distance").limit(most * (most - 1) // 2 + 1).toArrow()
+    w1, w2 = (rows[w].combine_chunks().dictionary_encode() for w in ("w1", "w2"))
+    names = sorted(set(w1.dictionary.to_pylist()) | set(w2.dictionary.to_pylist()))
     if len(names) > most:
         raise ValueError(f"a tree of more than {most} witnesses isn't made on the driver; cluster fewer")
     at = {w: i for i, w in enumerate(names)}
     d = np.ones((len(names), len(names)))
     np.fill_diagonal(d, 0.0)
-    i, j = rows["w1"].map(at).to_numpy(int), rows["w2"].map(at).to_numpy(int)
-    d[i, j] = d[j, i] = rows["distance"].to_numpy(float)
+    i, j = (np.array([at[x] for x in w.dictionary.to_pylist()], int)[w.indices.to_numpy()] for w in (w1, w2))
+    d[i, j] = d[j, i] = rows["distance"].to_numpy()
     return names, d
 
 

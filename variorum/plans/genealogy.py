@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coherence as C
 from ..operators import trees
-from ..schema import Collation
+from ..schema import Collation, written
 from . import metrics as M
 
 # Published memberships.
@@ -37,12 +37,15 @@ class Genealogy:
 
 
 def build(matrix: DataFrame, settings) -> Genealogy:
-    """``matrix``: a long reading matrix (app_id, base_ga, reading_id)."""
+    """``matrix``: a long reading matrix (app_id, base_ga, reading_id).
+
+    The matrix, its informative part and the pairs are written once, as all that follows uses them."""
+    matrix = written(matrix, "matrix")
     units = C.informative_units(matrix, settings.min_extant, settings.max_modal)
-    # pairs are of all witnesses of the matrix; only informative units count
-    pairs = C.distances(matrix.join(units.select("app_id"), "app_id", "left_semi"), settings.min_overlap).cache()
+    told = written(matrix.join(units.select("app_id"), "app_id", "left_semi"), "informative")
+    pairs = written(C.distances(told, settings.min_overlap), "pairs").cache()
     names, distance = trees.matrix(pairs)
-    return Genealogy(matrix.join(units.select("app_id"), "app_id", "left_semi"), pairs, trees.average_linkage(names, distance), distance)
+    return Genealogy(told, pairs, trees.average_linkage(names, distance), distance)
 
 
 def clusters(g: Genealogy, k: int) -> DataFrame:
