@@ -97,13 +97,18 @@ def bootstrap_support(g: Genealogy, members: dict[str, list[str]], b: int, seed:
 
         codes = shared.value
         states = [s for s in np.unique(codes).tolist() if s >= 0]
+        kind = np.float32 if len(codes) < 1 << 24 else np.float64  # counts up to the number of units stay exact
         for batch in batches:
             out = []
             for rep in batch["id"]:
-                draws = np.bincount(np.random.default_rng([seed, int(rep)]).integers(0, len(codes), len(codes)), minlength=len(codes)).astype(np.float64)
-                here = codes >= 0
-                overlap = (here * draws[:, None]).T @ here
-                agree = sum(((codes == s) * draws[:, None]).T @ (codes == s) for s in states)
+                draws = np.bincount(np.random.default_rng([seed, int(rep)]).integers(0, len(codes), len(codes)), minlength=len(codes))
+                own, times = codes[draws > 0], draws[draws > 0, None].astype(kind)
+                here = own >= 0
+                overlap = ((here * times).T @ here.astype(kind)).astype(np.float64)
+                agree = np.zeros_like(overlap)
+                for state in states:
+                    has = (own == state).astype(kind)
+                    agree += (has * times).T @ has
                 with np.errstate(invalid="ignore", divide="ignore"):
                     d = np.where(overlap < min_overlap, 1.0, 1.0 - agree / overlap)
                 np.fill_diagonal(d, 0.0)
