@@ -22,6 +22,33 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, block, hot):
     assert got == plain_classes(rows)
 
 
+def test_long_texts_count_by_their_length(spark, monkeypatch):
+    """Few long texts of one bucket are dealt like many short ones, with the same classes."""
+    rng, linked, calls = random.Random(3), near_dedup._linked, []
+    monkeypatch.setattr(near_dedup, "LONG", 16)
+    monkeypatch.setattr(near_dedup, "_linked", lambda *a: calls.append(1) or linked(*a))
+    base = [f"w{rng.randrange(300)}" for _ in range(200)]
+    rows = [(k, " ".join(edited(rng, base, rng.choice([0, 2, 5, 9, 12])))) for k in range(30)] + [(90 + k, f"a b c d e f {k // 2}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, block=64).collect()}
+    assert got == plain_classes(rows) and calls
+
+
+def test_a_bucket_keeps_few_shingles(monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(200)]
+    texts = sorted({" ".join(edited(rng, base, rng.choice([0, 2, 5, 9, 12]))) for _ in range(40)})
+    rows = [(b"%03d" % k, b"%03d" % k, 196, 0, 0, [], bytes(192), t) for k, t in enumerate(texts)]
+    whole = list(near_dedup._Bucket(rows, 0, 0.8, 5).links())
+    monkeypatch.setattr(near_dedup, "KEPT", 1000, raising=False)
+    held = near_dedup._Bucket(rows, 0, 0.8, 5)
+    most = 0
+    for n, link in enumerate(held.links()):
+        most = max(most, sum(map(len, held.bags.values())))
+        assert link == whole[n]
+    assert n + 1 == len(whole) and 10 < len(whole) < len(rows) and most <= 1000
+
+
 def test_forgotten_texts_are_signed_again(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_REMEMBERED", 2)
     rows = [(i, f"a b c d e f g h {i % 5}") for i in range(40)]

@@ -17,7 +17,9 @@ members are one.  A bucket's texts meet in one task, which compares each pair in
 the pair shares: by signature, then exactly by their words, unless earlier links connect them already;
 it gives links, a forest, not pairs.  Buckets larger than ``block`` texts are dealt into blocks by
 hash and each two blocks meet in a task of their own, so no task holds more than two blocks and no
-pair is lost; before that, the members of such buckets are linked to the bucket's least text where
+pair is lost (a long text counts as one for each ``LONG`` shingles, so a task's memory doesn't grow with
+the length of the texts; where the shingles of a bucket are too many to be kept as words, hashes of them,
+by which two texts are never less similar, tell first which pairs are compared by words); before that, the members of such buckets are linked to the bucket's least text where
 they are similar, and buckets that are one component by then are done.  Blocks compare signatures
 first, without texts; texts follow only for members whose signature is near another one's.  Components
 come from repeated large-star and small-star steps on written tables.
@@ -179,6 +181,8 @@ _SIGNED = pa.schema([("_v_id", pa.int64()), ("tid", pa.binary()), ("size", pa.in
 _REMEMBERED = 1 << 16
 #: Buckets of more texts than this are kept out of the shuffle by bucket.
 HOT = 10_000
+#: Shingles of a text that count as one text in the size of a bucket, and shingles that a bucket keeps at a time.
+LONG, KEPT = 4096, 200_000
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,6 +309,9 @@ class _Bucket:
         self.least, self.threshold, self.words = least, threshold, words
         self.parent: dict[bytes, bytes] = {}
         self.bags: dict[int, Counter] = {}
+        self.kept = 0
+        self.hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.many = self.sizes.sum() > KEPT
 
     def find(self, x: bytes) -> bytes:
         while (p := self.parent.get(x, x)) != x:
@@ -312,9 +319,33 @@ class _Bucket:
         return x
 
     def bag(self, i: int) -> Counter:
-        if i not in self.bags:
-            self.bags[i] = bag(self.texts[i], self.words)
-        return self.bags[i]
+        """The i-th text's shingles; those used longest ago go once there are more than ``KEPT``."""
+        found = self.bags.pop(i, None)
+        if found is None:
+            found = bag(self.texts[i], self.words)
+            self.kept += len(found)
+        self.bags[i] = found
+        while self.kept > KEPT and len(self.bags) > 1:
+            self.kept -= len(self.bags.pop(next(iter(self.bags))))
+        return found
+
+    def hashed(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the i-th text's shingles in order, and how often each is there."""
+        if i not in self.hashes:
+            self.hashes[i] = shingles([self.texts[i].encode("utf-8", "surrogatepass")], self.words)[1:]
+        return self.hashes[i]
+
+    def alike(self, i: int, j: int) -> bool:
+        """Whether two texts are as similar as the threshold, by their words."""
+        if self.many:
+            # shingles that share a hash only add to what is shared, so no pair is lost
+            (x, n), (y, m) = self.hashed(i), self.hashed(j)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            same = x[at] == y
+            shared = int(np.minimum(n[at[same]], m[same]).sum())
+            if shared / (int(n.sum()) + int(m.sum()) - shared) < self.threshold:
+                return False
+        return _jaccard(self.bag(i), self.bag(j)) >= self.threshold
 
     def near(self, i: int) -> np.ndarray:
         """Which of the texts before the i-th are compared with it here, and are near by their signatures."""
@@ -342,7 +373,7 @@ class _Bucket:
         for i in range(1, len(self.tids)):
             for j in np.flatnonzero(self.near(i)).tolist():
                 x, y = self.find(self.roots[i]), self.find(self.roots[j])
-                if x != y and _jaccard(self.bag(i), self.bag(j)) >= self.threshold:
+                if x != y and self.alike(i, j):
                     self.parent[max(x, y)] = min(x, y)
                     yield self.tids[i], self.tids[j]
 
@@ -362,7 +393,8 @@ def _by_bucket(rows: DataFrame, schema: str, found: Callable[[tuple, list[tuple]
                     if len(held) > 1 and (out := found(current, held)):
                         yield out
                     current, held = (key, p, q), []
-                held.append(tuple(row))
+                if not held or held[-1][0] != row[0]:
+                    held.append(tuple(row))
         if len(held) > 1 and (out := found(current, held)):
             yield out
 
@@ -401,12 +433,13 @@ def rooted(
     least = max(0, math.floor(size * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / size))))
     signed = written(sign(docs, words, bands, rows, id_col, text_col), "signed")
     facts = signed.filter("bands is not null")
-    banded = facts.select("tid", F.posexplode("bands").alias("place", "key"))
+    weight = F.ceil(F.col("size") / F.lit(LONG)).cast("int").alias("weight")
+    banded = facts.select("tid", weight, F.posexplode("bands").alias("place", "key"))
     # most keys are of one text: they are counted alone first, and only the members of others are told apart
     counts = written(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     shared = written(_members(banded, counts).drop("n"), "shared")
     mark = lambda *salt: F.sum(F.xxhash64("tid", *salt).cast("decimal(38,0)"))
-    buckets = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), mark().alias("all"), mark(F.lit(1)).alias("also"), F.min("place").alias("place"))
+    buckets = shared.groupBy("key").agg(F.sum("weight").alias("n"), F.min("tid").alias("low"), F.max("tid").alias("high"), mark().alias("all"), mark(F.lit(1)).alias("also"), F.min("place").alias("place"))
     buckets = buckets.filter("low != high").groupBy("n", "low", "high", "all", "also").agg(F.min(F.struct("place", "key")).alias("k"))
     buckets = written(buckets.select("k.key", "k.place", "n", "low"), "buckets")
     held = written(_members(shared.select("tid", "key"), buckets), "held")
