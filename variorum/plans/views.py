@@ -39,9 +39,9 @@ def collation(spark: SparkSession, sf_dir: str, settings: Settings = Settings())
         reading.alias("reading_id"),
         F.when(F.col("l_suppkey") == 0, "basetext").otherwise(F.col("l_suppkey").cast("string")).alias("base_ga"),
         F.when(F.col("l_linestatus") == "F", "firsthand").otherwise("corrector").alias("hand"),
-    ).distinct()
+    ).repartition("app_id").distinct()  # by unit once, which serves all joins and groups by unit
     # a reading exists where it is attested; its type and text follow from its id
-    readings = line.select(F.concat(F.lit("U"), F.col("l_partkey").cast("string")).alias("app_id"), reading.alias("reading_id")).distinct()
+    readings = line.select(F.concat(F.lit("U"), F.col("l_partkey").cast("string")).alias("app_id"), reading.alias("reading_id")).repartition("app_id").distinct()
     kind = F.when(F.col("reading_id") == "c", "om").when(F.col("reading_id") == "d", "subreading").when(F.col("reading_id") == "z", "lac")
     readings = readings.select("app_id", "reading_id", kind.alias("reading_type"), F.concat_ws("-", F.lit("reading"), "reading_id", "app_id").alias("reading_text"), (F.col("reading_id") == "a").alias("is_lemma"))
     supplier, nation, region = (read(spark, sf_dir, n) for n in ("supplier", "nation", "region"))
