@@ -24,23 +24,43 @@ def positions(docs: DataFrame, keys: tuple[str, ...], order: str = "doc_id", tex
 
     The running sum goes over one number a document, not over the words; rows are told apart by a digest."""
     one = F.struct(*keys, order, text)
-    listed = docs.select(*keys, order, words(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_w"), F.md5(F.to_json(one, {"ignoreNullFields": "false"})).alias("_row"))
-    sizes = listed.select(*keys, order, "_row", F.size("_w").cast("long").alias("n")).groupBy(*keys, order, "_row", "n").agg(F.count("*").alias("copies"))
+    said = F.coalesce(F.col(text), F.lit(""))
+    listed = docs.select(*keys, order, said.alias("_t"), F.md5(F.to_json(one, {"ignoreNullFields": "false"})).alias("_row"))
+    split = words(F.lower(F.col("_t")))
+    sizes = listed.select(*keys, order, "_row", F.size(split).cast("long").alias("n")).groupBy(*keys, order, "_row", "n").agg(F.count("*").alias("copies"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(F.asc_nulls_first(order), "_row").rowsBetween(Window.unboundedPreceding, -1)
     own = F.col("n") * F.col("copies")
     sizes = sizes.withColumn("base", F.coalesce(F.sum(own).over(before), F.lit(0).cast("long"))).withColumn("total", F.sum(own).over(whole))
     each = sizes.select("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_k"), "base", "n", "total")
     each = each.select("_row", (F.col("base") + F.col("_k") * F.col("n")).alias("base"), "total")
-    return listed.dropDuplicates(["_row"]).join(each, "_row").drop("_row")
+    # texts are shuffled, not their words
+    return listed.dropDuplicates(["_row"]).join(each, "_row").withColumn("_w", split).drop("_row", "_t")
 
 
 def token_windows(docs: DataFrame, keys: tuple[str, ...], w: int = 200, order: str = "doc_id", text: str = "text") -> DataFrame:
     """(keys, window, pos, lemma): consecutive windows of w words of each key; a last one of 3/4 w or more stays."""
-    placed = positions(docs, keys, order, text).select(*keys, "base", "total", F.posexplode("_w").alias("k", "lemma"))
-    placed = placed.withColumn("at", F.col("base") + F.col("k")).withColumn("window", F.floor(F.col("at") / w).cast("long")).withColumn("pos", (F.col("at") % w).cast("int"))
+    words_ = F.posexplode("words").alias("_k", "lemma")
+    return window_pieces(docs, keys, w, order, text).select(*keys, "window", "start", words_).select(*keys, "window", (F.col("start") + F.col("_k")).alias("pos"), "lemma")
+
+
+def window_pieces(docs: DataFrame, keys: tuple[str, ...], w: int = 200, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """(keys, window, start, words): the same windows in pieces, each the part of one document from place ``start``."""
+    placed = positions(docs, keys, order, text).filter(F.size("_w") > 0)
+    last = F.floor((F.col("base") + F.size("_w") - 1) / w).cast("long")
+    each = placed.select(*keys, "base", "total", "_w", F.explode(F.sequence(F.floor(F.col("base") / w).cast("long"), last)).alias("window"))
     size = F.least(F.lit(w), F.col("total") - F.col("window") * w)
-    return placed.filter(size >= 0.75 * w).select(*keys, "window", "pos", "lemma")
+    skipped = F.greatest(F.col("window") * w - F.col("base"), F.lit(0).cast("long"))  # words of earlier windows
+    start = (F.col("base") + skipped - F.col("window") * w).cast("int")
+    part = F.slice("_w", skipped.cast("int") + 1, F.lit(w) - start)
+    return each.filter(size >= 0.75 * w).select(*keys, "window", start.alias("start"), part.alias("words"))
+
+
+def window_figures(pieces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, window, n, n_types, first_type, opens) of windows in pieces, which are reduced before they are shuffled."""
+    own = pieces.select(*keys, "window", F.size("words").alias("n"), F.array_distinct("words").alias("_t"), F.array_min("words").alias("_first"), F.when(F.col("start") == 0, F.get("words", F.lit(0))).alias("_opens"))
+    types = F.size(F.array_distinct(F.flatten(F.collect_list("_t")))).cast("long")
+    return own.groupBy(*keys, "window").agg(F.sum("n").alias("n"), types.alias("n_types"), F.min("_first").alias("first_type"), F.max("_opens").alias("opens"))
 
 
 def most_frequent(rows: DataFrame, k: int = 100, word: str = "lemma") -> DataFrame:
