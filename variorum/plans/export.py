@@ -11,12 +11,13 @@ import shutil
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import coherence as C
 from ..operators import trees
+from ..operators.statistics import numbered
 from ..schema import Collation
 from . import metrics as M
 
@@ -106,10 +107,10 @@ def character_rows(matrix: DataFrame, states: str = SYMBOLS) -> DataFrame:
     coded = C.codes(matrix)
     units = coded.groupBy("app_id").agg(F.max("code").alias("m")).filter(F.col("m") < len(states))
     # columns of the matrix: contested units, numbered in order
-    units = units.select("app_id", F.row_number().over(Window.orderBy("app_id")).alias("at"), F.count("*").over(Window.partitionBy()).alias("width"))
-    cells = coded.join(units, "app_id", "left").select("base_ga", "at", "width", F.substring(F.lit(states), F.col("code") + 1, F.lit(1)).alias("s"))
-    rows = cells.groupBy("base_ga").agg(F.max("width").alias("_own"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "s")))).alias("c"))
-    rows = rows.withColumn("width", F.coalesce(F.max("_own").over(Window.partitionBy()), F.lit(0).cast("long")))  # a row a witness
+    units = numbered(units, "app_id").withColumn("at", F.col("at") + 1)
+    width = units.agg(F.count("*").alias("width"))  # one row
+    cells = coded.join(units, "app_id", "left").crossJoin(F.broadcast(width)).select("base_ga", "at", "width", F.substring(F.lit(states), F.col("code") + 1, F.lit(1)).alias("s"))
+    rows = cells.groupBy("base_ga").agg(F.max("width").alias("width"), F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "s")))).alias("c"))
     # only the cells that are there are joined; what lies between them is filled in place
     gap = lambda n: F.repeat(F.lit("?"), n.cast("int"))
     filled = F.transform("c", lambda x, i: F.concat(gap(x["at"] - 1 - F.when(i > 0, F.get("c", i - 1)["at"]).otherwise(0)), x["s"]))
