@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.choose import attested, folded, group, labelled, main_units, not_lacuna, one_reading, plurality, with_family
+from ..operators.choose import attested, extant, folded, group, labelled, main_units, not_lacuna, one_reading, plurality, settled, with_family
 from ..operators.statistics import average_rank, z_scores
-from ..schema import Collation
+from ..schema import Collation, bounded, written
 
 FAMILIES = ("Alexandrian", "Byz", "f1", "f13", "other")
 
@@ -48,7 +48,7 @@ def unit_instability(c: Collation) -> DataFrame:
 
 def verse_coverage(c: Collation) -> DataFrame:
     """(verse_id, extant_base_ms): distinct witnesses of a verse's main units."""
-    seen = attested(c).select("app_id", "base_ga").join(main_units(c).select("app_id", "verse_id"), "app_id")
+    seen = extant(c)
     return seen.groupBy("verse_id").agg(F.countDistinct("base_ga").alias("extant_base_ms"))
 
 
@@ -196,11 +196,15 @@ def witness_weights(witnesses: DataFrame) -> DataFrame:
 def family_support(c: Collation, verse_id: str | None = None) -> DataFrame:
     """Witnesses and families behind each reading (of one verse)."""
     units = main_units(c) if verse_id is None else main_units(c).filter(F.col("verse_id") == verse_id)
-    readings = c.readings.filter(not_lacuna(c)).join(units.select("app_id"), "app_id", "left_semi")
-    rows = readings.join(c.attestation.select("app_id", "reading_id", "base_ga"), ["app_id", "reading_id"]).join(c.witnesses.select("base_ga", "family"), "base_ga", "left")
-    return rows.groupBy("app_id", "reading_id", "reading_type", "is_lemma", F.substring("reading_text", 1, 24).alias("txt")).agg(
-        F.countDistinct("base_ga").alias("n_wit"), F.countDistinct("family").alias("n_families"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families")
-    )
+    # witnesses are counted as rows, whose families are one array, in steps that share one shuffle by unit; the
+    # texts join the counts
+    seen = c.attestation.select("app_id", "reading_id", "base_ga").join(units.select("app_id"), "app_id", "left_semi").distinct()
+    known = bounded(c.witnesses.groupBy("base_ga").agg(F.collect_set("family").alias("_f")))
+    each = seen.join(known, "base_ga", "left").groupBy("app_id", "reading_id").agg(F.count("base_ga").alias("n_wit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_f")))).alias("_f"))
+    each = each.select("app_id", F.col("reading_id").alias("_r"), "n_wit", F.size("_f").cast("long").alias("n_families"), F.array_join("_f", ",").alias("families"))
+    readings = c.readings.filter(not_lacuna(c)).select("app_id", "reading_id", "reading_type", "is_lemma", F.substring("reading_text", 1, 24).alias("txt")).distinct()
+    met = readings.join(each, "app_id").filter((F.col("reading_id") <= F.col("_r")) & (F.col("reading_id") >= F.col("_r")))
+    return met.select("app_id", "reading_id", "reading_type", "is_lemma", "txt", "n_wit", "n_families", "families")
 
 
 # ---- confidence and the verse index ---------------------------------------------------------------
@@ -208,8 +212,8 @@ def family_support(c: Collation, verse_id: str | None = None) -> DataFrame:
 
 def confidence(c: Collation) -> DataFrame:
     """(verse_id, n_families, eff_families, n_early): breadth, Simpson's effective number, early witnesses."""
-    seen = attested(c).select("app_id", "base_ga").join(main_units(c).select("app_id", "verse_id"), "app_id").select("verse_id", "base_ga").distinct()
-    known = c.witnesses.select("base_ga", "family", (F.coalesce(F.col("date_mid") <= c.settings.early_until, F.lit(False))).alias("early"))
+    seen = extant(c).distinct()
+    known = bounded(c.witnesses.select("base_ga", "family", (F.coalesce(F.col("date_mid") <= c.settings.early_until, F.lit(False))).alias("early")))
     counts = seen.join(known, "base_ga", "left").groupBy("verse_id", F.coalesce("family", F.lit("other")).alias("family")).agg(F.count("*").alias("n"), F.count_if("early").alias("e"))
     total = F.sum("n")
     return counts.groupBy("verse_id").agg(
@@ -219,6 +223,7 @@ def confidence(c: Collation) -> DataFrame:
 
 def verse_index(c: Collation) -> DataFrame:
     """All metrics of a verse in one row, with the low-confidence flag."""
+    c = settled(c)
     zero = F.lit(0).cast("long")
     vote = family_vote(c).groupBy("verse_id").agg(F.avg("family_instability").alias("family_instability"), F.avg(F.col("between_family_split").cast("double")).alias("between_family_split"))
     stable = verse_stability(c).select("verse_id", "stability", "family_stability", "anchor_frac", "tied_units")
@@ -238,17 +243,22 @@ def contested(index: DataFrame, k: int = 12) -> DataFrame:
 
 
 def containers(units: DataFrame) -> DataFrame:
-    """Units that strictly contain another unit of their verse; without both offsets a unit is none."""
-    o = units.select("verse_id", F.col("app_id").alias("outer_id"), F.col("app_from").alias("of"), F.col("app_to").alias("ot"))
-    i = units.select(F.col("verse_id").alias("v"), F.col("app_id").alias("inner_id"), F.col("app_from").alias("if_"), F.col("app_to").alias("it"))
-    inside = (F.col("verse_id") == F.col("v")) & (F.col("if_") >= F.col("of")) & (F.col("it") <= F.col("ot")) & ((F.col("if_") != F.col("of")) | (F.col("it") != F.col("ot")))
-    return o.join(i, inside, "left_semi").select("verse_id", F.col("outer_id").alias("app_id"))
+    """Units that strictly contain another unit of their verse; without both offsets a unit is none.
+
+    Units of a verse aren't compared with each other: of each start, the least end of its units and the least end of
+    units that start later tell whether there is one inside."""
+    placed = units.select("verse_id", "app_id", "app_from", "app_to").dropna(subset=["verse_id", "app_from", "app_to"])
+    starts = placed.groupBy("verse_id", "app_from").agg(F.min("app_to").alias("_own"))
+    later = F.min("_own").over(Window.partitionBy("verse_id").orderBy(F.desc("app_from")).rowsBetween(Window.unboundedPreceding, -1))
+    inside = (F.col("app_to") > F.col("_own")) | F.coalesce(F.col("app_to") >= F.col("_later"), F.lit(False))
+    return placed.join(starts.withColumn("_later", later), ["verse_id", "app_from"]).filter(inside).select("verse_id", "app_id")
 
 
 def reading_families(c: Collation) -> DataFrame:
     """(app_id, reading_id, family, n): witnesses of each family behind each reading, without the base text."""
     rows = with_family(c, attested(c).select("app_id", "reading_id", "base_ga"))
-    return rows.groupBy("app_id", "reading_id", "family").agg(F.countDistinct("base_ga").alias("n"))
+    # one row for each witness and family, so counting needs no sets
+    return rows.select("app_id", "reading_id", "base_ga", "family").distinct().groupBy("app_id", "reading_id", "family").agg(F.count("base_ga").alias("n"))
 
 
 def reading_witnesses(c: Collation) -> DataFrame:
@@ -335,6 +345,7 @@ def corpus_summary(c: Collation, index: DataFrame | None = None) -> DataFrame:
 
 def chapter_summary(c: Collation) -> DataFrame:
     """Chapters with flat, family and stability means."""
+    c = settled(c)
     stable = verse_stability(c).groupBy("chapter").agg(F.avg("stability").alias("stability"), F.avg("family_stability").alias("family_stability"))
     fam = chapter_comparison(c).select("chapter", "family_instability", "between_family_split")
     return chapter_metrics(c).join(fam, "chapter", "left").join(stable, "chapter", "left")
@@ -353,10 +364,14 @@ def enrich_dates(witnesses: DataFrame, dates: DataFrame) -> DataFrame:
 
 def includers_omitters(c: Collation, verse_id: str, neighbours: list[str]) -> DataFrame:
     """(base_ga, role): witnesses of the passage's own readings, and those that are extant on either side without it."""
-    main = attested(c).join(main_units(c).select("app_id", "verse_id"), "app_id")
+    # the units of a few verses, to which the attestation is narrowed before it is shuffled
+    asked = written(main_units(c).filter(F.col("verse_id").isin(verse_id, *neighbours)).select("app_id", "verse_id"), "asked")
+    own = bounded(asked)
+    main = attested(c, units=own.select("app_id")).join(own, "app_id")
     include = main.filter((F.col("verse_id") == verse_id) & F.col("reading_type").isNull()).select("base_ga").distinct()
-    lost = c.attestation.filter(F.col("base_ga") != c.settings.base_witness).join(c.readings.filter(F.col("reading_type") == c.settings.lacuna_type).select("app_id", "reading_id"), ["app_id", "reading_id"], "left_semi")
-    lost = lost.join(main_units(c).filter(F.col("verse_id") == verse_id).select("app_id"), "app_id", "left_semi").select("base_ga").distinct()
+    here = own.filter(F.col("verse_id") == verse_id).select("app_id")
+    gaps = c.readings.filter(F.col("reading_type") == c.settings.lacuna_type).select("app_id", "reading_id").join(here, "app_id", "left_semi")
+    lost = c.attestation.filter(F.col("base_ga") != c.settings.base_witness).join(here, "app_id", "left_semi").join(gaps, ["app_id", "reading_id"], "left_semi").select("base_ga").distinct()
     near = main.filter(F.col("verse_id").isin(neighbours)).select("base_ga").distinct()
     omit = near.join(include, "base_ga", "left_anti").join(lost, "base_ga", "left_anti")
     return include.withColumn("role", F.lit("includer")).union(omit.withColumn("role", F.lit("omitter")))
@@ -367,6 +382,7 @@ def includers_omitters(c: Collation, verse_id: str, neighbours: list[str]) -> Da
 
 def verse_covariates(c: Collation) -> DataFrame:
     """Verses with instability of families, coverage, length, lectionaries, families, section and synoptic flag."""
+    c = settled(c)
     units = main_units(c).select("app_id", "verse_id", "app_to")
     length = units.groupBy("verse_id").agg(F.max("app_to").alias("verse_length"))
     lect = attested(c, with_base=True).filter(F.startswith("base_ga", F.lit("L"))).join(units.select("app_id", "verse_id"), "app_id").groupBy("verse_id").agg(F.countDistinct("base_ga").alias("n_lectionaries"))

@@ -43,6 +43,8 @@ class Collation:
     attestation: DataFrame
     witnesses: DataFrame | None = None
     settings: Settings = Settings()
+    #: One reading of each witness in each unit by all policies (``choose.settled``), where it was written.
+    chosen: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -57,7 +59,7 @@ class Collation:
         return replace(self, witnesses=witnesses)
 
     def with_settings(self, **changes) -> Collation:
-        return replace(self, settings=replace(self.settings, **changes))
+        return replace(self, settings=replace(self.settings, **changes), chosen=None)
 
 
 def save(collation: Collation, folder: str) -> None:
